@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding
+from . import decontaminate, line_rules, packing, sharding
 from .common import read_table
 from .sql import ORACLE_SQL
 
@@ -24,8 +24,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
+    "op8_line_rules": op8_line_rules,
 }
