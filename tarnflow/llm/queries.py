@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_rules, lm_score, packing, sharding
+from . import decontaminate, jaccard_join, line_rules, lm_score, packing, sharding
 from .common import read_table
 from .sql import ORACLE_SQL
 
@@ -32,10 +32,15 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
     "op8_line_rules": op8_line_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
