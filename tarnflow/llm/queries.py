@@ -5,13 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_rules, lm_score, packing, quality, sharding
+from . import decontaminate, jaccard_join, line_rules, lm_score, packing, pii, quality, sharding
 from .common import read_table
 from .sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
     "op4_lm_score": op4_lm_score,
