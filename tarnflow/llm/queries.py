@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_rules, lm_score, packing, pii, quality, sharding
+from . import decontaminate, jaccard_join, line_rules, lm_score, packing, pii, quality, secrets, sharding, url_filter
 from .common import read_table
 from .sql import ORACLE_SQL
 
@@ -36,10 +36,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.evaluate(url_filter.demo_captures(pages), url_filter.demo_entries(pages))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +60,8 @@ QUERIES = {
     "op4_lm_score": op4_lm_score,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
+    "op7_secrets": op7_secrets,
     "op8_line_rules": op8_line_rules,
+    "op9_url_filter": op9_url_filter,
     "op10_jaccard_join": op10_jaccard_join,
 }

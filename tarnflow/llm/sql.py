@@ -63,7 +63,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_HOST = "nullif(rtrim(regexp_extract(lower(trim(url)), '^https?://(?:[^/?#@\\s]*@)?([^/?#:@\\s]+)', 1), '.'), '')"
+_PATH = "regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1)"
+
+_OP9 = f"""
+WITH cap AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS fetched_at, {_HOST} AS host, {_PATH} AS path
+  FROM pages
+),
+h AS (
+  SELECT host, CAST('0x' || substr(md5(host), 1, 3) AS INTEGER) AS a, CAST('0x' || substr(md5(host), 4, 3) AS INTEGER) AS b,
+    CAST('0x' || substr(md5(host), 7, 3) AS INTEGER) AS c
+  FROM (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL)
+),
+entry AS (
+  SELECT host AS pattern, 'block' AS action, b % 300 AS d FROM h WHERE a % 3 = 0
+  UNION ALL SELECT host, 'remove', b % 300 + 20 + c % 60 FROM h WHERE a % 3 = 0 AND c % 2 = 0
+  UNION ALL SELECT host, 'block', b % 300 + 100 + c % 60 FROM h WHERE a % 6 = 0 AND c % 2 = 0
+  UNION ALL SELECT host || '/en', 'allow', c % 366 FROM h WHERE a % 2 = 0
+  UNION ALL SELECT host || '/fr', 'block', b % 200 FROM h WHERE a % 5 = 0
+  UNION ALL SELECT DISTINCT 'example.org', 'block', 180 FROM h WHERE host LIKE '%.example.org'
+),
+one AS (
+  SELECT lower(pattern) AS pattern, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS listed_at, max(action) AS action
+  FROM entry GROUP BY ALL
+),
+iv AS (SELECT *, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS ended FROM one),
+seg AS (SELECT *, regexp_extract_all(path, '[^/]+')[1:8] AS segs, string_split(host, '.') AS labels FROM cap),
+k AS (
+  SELECT page_id, fetched_at, i AS rank, lower(array_to_string(labels[len(labels) - i + 1:], '.')) AS key
+  FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM seg)
+  UNION ALL
+  SELECT page_id, fetched_at, 100 + i, lower(host || '/' || array_to_string(segs[1:i], '/'))
+  FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM seg)
+),
+best AS (
+  SELECT page_id, arg_max({{'p': pattern, 'a': action, 'l': listed_at}}, rank) AS x
+  FROM k JOIN iv ON key = pattern AND action <> 'remove' AND fetched_at >= listed_at AND (ended IS NULL OR fetched_at < ended)
+  GROUP BY page_id
+)
+SELECT page_id, url, fetched_at, host, x.p AS pattern, x.a AS action, x.l AS listed_at, host IS NOT NULL AND coalesce(x.a <> 'block', true) AS kept
+FROM cap LEFT JOIN best USING (page_id)
+"""
+
 ORACLE_SQL = {
     "op5_decontaminate": _OP5,
     "op8_line_rules": _OP8,
+    "op9_url_filter": _OP9,
 }
