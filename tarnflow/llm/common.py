@@ -54,14 +54,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far (results that read them must have
-    been written)."""
+def scratch_tables() -> list[str]:
+    """Paths of the scratch tables that exist."""
+    return list(_SCRATCH)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables, all or those given. Results that read them must
+    have been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        p.getFileSystem(conf).delete(p, True)
+    for path in scratch_tables() if paths is None else paths:
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 @atexit.register
