@@ -62,40 +62,45 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-#: Boundaries that a global rank is dealt out by.
+#: A global rank is dealt out in ranges of about this many rows, 64 at most.
+RANGE_ROWS = 1_000_000
 RANGES = 64
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str, tie: str) -> DataFrame:
-    """Row numbers from 1 over the whole table, without a one-task sort: rows go
-    to ranges between sampled boundaries, ranges are counted, and a row's rank is
-    its place in its range after the rows of all ranges before. Exact whatever
-    the sample; ``order`` ends with the column ``tie``, which must be unique."""
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    sample = sorted(r[0] for r in keyed.select("_key").orderBy(F.xxhash64(F.col(tie)), F.col(tie)).limit(20 * RANGES).collect())
-    bounds = [sample[k] for k in range(0, len(sample), max(1, len(sample) // RANGES))][1:]
-    spark = df.sparkSession
-    key_type = keyed.schema["_key"].dataType
+def global_rank(df: DataFrame, order: list[Column], name: str, tie: str, stored: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(``df`` with row numbers from 1 over the whole table, its rows), without a
+    one-task sort: rows go to ranges between sampled boundaries, ranges are
+    counted, and a row's rank is its place in its range after the rows of all
+    ranges before. Exact whatever the sample; ``order`` ends with the column
+    ``tie``, which must be unique. Sample and counts are taken from ``stored``,
+    a stored table with the same rows, where given."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    source = (df if stored is None else stored).select(key.alias("_key"), F.col(tie).alias("_tie"))
+    ranges = min(RANGES, -(-source.count() // RANGE_ROWS))
+    bounds = []
+    if ranges > 1:
+        sample = sorted(r[0] for r in source.orderBy(F.xxhash64("_tie"), "_tie").limit(20 * ranges).select("_key").collect())
+        bounds = [sample[k] for k in range(0, len(sample), max(1, len(sample) // ranges))][1:]
+    place = F.lit(0)
     if bounds:
-        from pyspark.sql import types as T
-
-        table = spark.createDataFrame([(bounds,)], T.StructType([T.StructField("_bounds", T.ArrayType(key_type))]))
-        ranged = keyed.join(F.broadcast(table)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
-    else:
-        ranged = keyed.withColumn("_range", F.lit(0))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # RANGES rows
-    placed = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
-    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_rn")).drop("_key", "_range", "_rn", "_before")
-
-
-def global_ntile(df: DataFrame, n: int, order: list[Column], name: str, tie: str) -> DataFrame:
+        below = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, source.schema["_key"].dataType.fields)]) for b in bounds])
+        place = F.size(F.filter(below, lambda b: b <= F.col("_key")))
+    counts = {r[0]: r[1] for r in source.groupBy(place.alias("_range")).count().collect()}  # a row a range
+    before, total = [], 0
+    for k in range(len(bounds) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    ranged = df.withColumn("_key", key).withColumn("_range", place)
+    w = Window.partitionBy("_range").orderBy("_key")
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("_range") + 1)
+    return ranged.withColumn(name, start + F.row_number().over(w)).drop("_key", "_range"), total
+
+
+def global_ntile(df: DataFrame, n: int, order: list[Column], name: str, tie: str, stored: DataFrame | None = None) -> DataFrame:
     """``ntile(n)`` over the whole table, by ``global_rank``."""
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranked = global_rank(df, order, "_rank", tie).join(F.broadcast(total))
-    small, extra = F.floor(F.col("_total") / n), F.col("_total") % n
+    ranked, total = global_rank(df, order, "_rank", tie, stored)
+    small, extra = divmod(total, n)
     big = extra * (small + 1)
-    tile = F.when(F.col("_rank") <= big, F.floor((F.col("_rank") - 1) / (small + 1))).otherwise(
-        extra + F.floor((F.col("_rank") - 1 - big) / F.greatest(small, F.lit(1)))
-    )
-    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_rank", "_total")
+    rank = F.col("_rank")
+    tile = F.when(rank <= big, F.floor((rank - 1) / (small + 1))).otherwise(extra + F.floor((rank - 1 - big) / max(small, 1)))
+    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import performance_tier, rfm_segment
 from ..operators.rows import global_ntile
+from ..session import work_path
 
 
 def _money(c: Column) -> Column:
@@ -18,6 +19,14 @@ def _money(c: Column) -> Column:
     return F.round(c, 2).cast("double")
 
 
+def _per(amount: Column, n: Column) -> Column:
+    """A decimal amount over a count, to two decimals, half up: in whole cents,
+    so that no binary fraction decides a tie. Null over 0."""
+    cents = (amount * 100).cast("long")
+    whole = F.floor((2 * cents + n).cast("decimal(38,0)") / F.nullif(2 * n, F.lit(0)).cast("decimal(19,0)"))
+    return whole.cast("double") / 100
+
+
 def daily_revenue(lines: DataFrame) -> DataFrame:
     """By day, category and subcategory; rows without a category are left out."""
     revenue, cost = F.sum("line_amount"), F.sum(F.col("quantity") * F.col("cost"))
@@ -43,13 +52,17 @@ def customer_lifetime(lines: DataFrame, as_of: str, tier: str = "loyalty_tier")
     )
     g = g.select(
         "customer_id", "last_order_date", "first_order_date", "total_orders", _money(F.col("m")).alias("lifetime_revenue"), "m",
-        F.round(F.col("m").cast("double") / F.col("n"), 4).alias("avg_line_value"), "distinct_order_days", "latest_loyalty_tier",
+        _per(F.col("m"), F.col("n")).alias("avg_line_value"), "distinct_order_days", "latest_loyalty_tier",
         F.datediff(today, "last_order_date").alias("days_since_last_order"), F.datediff(today, "first_order_date").alias("customer_tenure_days"),
     )
+    # Stored, as each quintile also samples and counts it.
+    path = work_path(lines.sparkSession, "customers")
+    g.write.parquet(path)
+    stored = g = lines.sparkSession.read.schema(g.schema).parquet(path)
     key = F.col("customer_id")
-    g = global_ntile(g, 5, [-F.col("days_since_last_order"), key], "recency_score", "customer_id")
-    g = global_ntile(g, 5, [F.col("total_orders"), key], "frequency_score", "customer_id")
-    g = global_ntile(g, 5, [F.col("m"), key], "monetary_score", "customer_id")
+    g = global_ntile(g, 5, [-F.col("days_since_last_order"), key], "recency_score", "customer_id", stored)
+    g = global_ntile(g, 5, [F.col("total_orders"), key], "frequency_score", "customer_id", stored)
+    g = global_ntile(g, 5, [F.col("m"), key], "monetary_score", "customer_id", stored)
     return g.drop("m").withColumn("rfm_segment", rfm_segment(F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")))
 
 
@@ -63,7 +76,6 @@ def product_performance(lines: DataFrame) -> DataFrame:
     r = F.col("r")
     return g.select(
         "product_id", "product_name", "category", "brand", "total_orders", "unique_customers", "total_units_sold", _money(r).alias("total_revenue"),
-        F.round(r.cast("double") / F.nullif(F.col("total_units_sold"), F.lit(0)), 4).alias("avg_selling_price"),
-        F.round(F.try_divide(r.cast("double"), F.col("days_with_sales")), 4).alias("avg_daily_revenue"),
+        _per(r, F.col("total_units_sold")).alias("avg_selling_price"), _per(r, F.col("days_with_sales")).alias("avg_daily_revenue"),
         "days_with_sales", "last_sale_date", performance_tier(r).alias("performance_tier"),
     )
