@@ -67,9 +67,14 @@ def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
 
 
 def _entry(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First position and step of the probes for (key, level)."""
+    """First point and step, of 32 bits, of the probes for (key, level)."""
     e = mix64(keys + np.full(1, level, np.uint64) * MIX)
-    return e >> np.uint64(32), (e & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    return (e >> np.uint64(32)).astype(np.uint32), e.astype(np.uint32) | np.uint32(1)
+
+
+def _places(points: np.ndarray, bits) -> np.ndarray:
+    """Points of 32 bits spread over ``bits`` places, without a division."""
+    return points.astype(np.uint64) * bits >> np.uint64(32)
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, most_bytes: int, bits: float = BITS_PER_ENTRY) -> tuple[bytes, int]:
@@ -81,8 +86,9 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, most_bytes: int, bits: fl
     field = np.zeros(8 * size, dtype=bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
         at, step = _entry(keys[levels >= q], q)
-        for j in range(probes):
-            field[((at + np.uint64(j) * step) % np.uint64(8 * size)).astype(np.int64)] = True
+        for _ in range(probes):
+            field[_places(at, np.uint64(8 * size)).astype(np.int64)] = True
+            at = at + step
     return np.packbits(field, bitorder="little").tobytes(), probes
 
 
@@ -107,18 +113,25 @@ class Filters:
         """The level of each n-gram hash: probes (h, 1), (h, 2), ..."""
         out = np.zeros(len(h), dtype=np.int64)
         s = slice_of(h, len(self.sizes))
-        bits, begin, probes = (8 * self.sizes[s]).astype(np.uint64), self.begins[s], self.probes[s]
-        keys, live, level = h & _LOW, np.flatnonzero(bits), 1
+        live = np.flatnonzero(self.sizes[s])
+        s, keys, level = s[live], h[live] & _LOW, 1
+        bits, begin, probes = (8 * self.sizes[s]).astype(np.uint64), (8 * self.begins[s]).astype(np.uint64), self.probes[s]
+        most = int(probes.max(initial=0))
+        same = bool((probes == most).all())
         while len(live):
-            at, step = _entry(keys[live], level)
-            for j in range(int(probes[live].max())):
-                p = (at + np.uint64(j) * step) % bits[live]
-                seen = (self.field[begin[live] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-                seen = (seen == 1) | (j >= probes[live])
+            at, step = _entry(keys, level)
+            for j in range(most):
+                place = _places(at, bits) + begin
+                seen = (self.field[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                if not same:
+                    seen |= j >= probes
                 if not seen.all():
-                    live, at, step = live[seen], at[seen], step[seen]
+                    live, keys, at, step, bits, begin = live[seen], keys[seen], at[seen], step[seen], bits[seen], begin[seen]
+                    if not same:
+                        probes = probes[seen]
                     if not len(live):
-                        break
+                        return out
+                at = at + step
             out[live] = level
             level += 1
         return out
@@ -357,9 +370,10 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                     tokens, n = _tokens(texts[lo:hi])
                     own = tokens[1:]
                     starts = np.cumsum(n) - n
-                    p = (unigrams.counts(own) + 0.5) / norm
+                    seen = unigrams.counts(tokens)
+                    p = (seen[1:] + 0.5) / norm
                     inside = np.ones(len(own), dtype=bool)
-                    context = unigrams.counts(tokens[:-1])
+                    context = seen[:-1]
                     for k in range(1, order):
                         grams = _ngrams(tokens, k + 1)
                         if k == 1:  # a token belongs to the segment of its bigram
