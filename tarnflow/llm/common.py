@@ -4,6 +4,7 @@ normalisation on UTF-8 bytes, and 64-bit hashing with numpy."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,6 +100,16 @@ def text_chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def trim() -> None:
+    """Hand freed work space back to the system. Python workers outlive their
+    tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words: runs of ASCII letters, digits and non-ASCII."""
     return text.translate(WORD_TABLE).split()

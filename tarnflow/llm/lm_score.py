@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, hash_words, materialise, mix64, text_chunks, utf8
+from .common import MIX, hash_words, materialise, mix64, text_chunks, trim, utf8
 
 ORDER = 2
 MU = 500.0
@@ -39,7 +39,9 @@ MAX_FREQUENT = 1 << 20
 SLICE_TOKENS = 500_000
 MIN_SLICES = 256
 #: N-grams or rare words that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bytes of text scored at once.
+CHUNK = 1 << 20
 _LOW = np.uint64((1 << 40) - 1)
 _END = hash_words([b" "])[0]  # no word has a space
 
@@ -226,7 +228,7 @@ def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTE
         size = 0
         for b in batches:
             texts = utf8(b.column(0))
-            for lo, hi in text_chunks(texts):
+            for lo, hi in text_chunks(texts, CHUNK):
                 tokens, _ = _tokens(texts[lo:hi])
                 for k in range(order):
                     held[k].append(_ngrams(tokens, k + 1))
@@ -236,6 +238,7 @@ def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTE
                     size = 0
         if size:
             yield out()
+        trim()
 
     share = max_filter_bytes // slices
 
@@ -366,7 +369,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
             pending = 0
             for b in batches:
                 texts = utf8(b.column(2))
-                for lo, hi in text_chunks(texts):
+                for lo, hi in text_chunks(texts, CHUNK):
                     tokens, n = _tokens(texts[lo:hi])
                     own = tokens[1:]
                     starts = np.cumsum(n) - n
@@ -403,6 +406,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                 serial += len(texts)
             if pending:
                 yield send()
+            trim()
 
         return run
 
@@ -430,11 +434,12 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
         segment = spark.sparkContext.broadcast((parts, owned))
         del parts
         part = source.mapInArrow(scan(k == 0, segment), schema)
-        if len(segments) > 1:  # one segment in the workers at a time
-            part = materialise(part, "scores")
-            segment.unpersist()
+        # Stored at once: one segment is in the workers at a time, and none later.
+        part = materialise(part, "scores")
+        segment.destroy()
         made = part if made is None else made.unionByName(part)
-    made = materialise(made, "scores") if len(segments) == 1 else made
+    words.destroy()
+    frequent.destroy()
 
     def look_up(group: pa.Table) -> pa.Table:
         table, rows = {}, []
