@@ -24,9 +24,12 @@ KINDS = ("assign", "access", "hex")
 #: Labelled values of each kind, and ordinary tokens, that automata are inferred
 #: from: those with the least hashes, whatever the corpus size.
 MAX_SAMPLE = 400
-#: Log-likelihood ratio a token needs over ordinary text, at least, and beyond
-#: that of every ordinary token of the sample.
+#: Log-likelihood ratio a token needs over ordinary text, at least; and above
+#: this share of the ordinary tokens (not all: unlabelled secrets are among them).
 MIN_RATIO = 6.0
+ORDINARY_SHARE = 0.95
+#: Different characters that a candidate has, at least.
+MIN_DISTINCT = 6
 #: A credential sample of fewer strings infers no format.
 MIN_SAMPLE = 20
 #: Symbols of a token that are scored; the rest of a longer one is alike.
@@ -65,9 +68,9 @@ def _value(t: str, span: tuple[int, int, int]) -> str:
 
 
 def _ordinary(t: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
-    """Tokens outside base spans that have a digit."""
+    """Tokens outside base spans that have a digit and no few characters."""
     for m in _TOKEN.finditer(t):
-        if not m[0].isalpha() and _DIGIT.search(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b in taken):
+        if not m[0].isalpha() and _DIGIT.search(m[0]) and len(set(m[0])) >= MIN_DISTINCT and all(m.end() <= a or m.start() >= b for a, _, b in taken):
             yield m
 
 
@@ -77,9 +80,8 @@ class Scanner:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.background = Automaton([symbols(s) for s in ordinary] + [symbols(w) for w in _FILLERS], _SYMBOLS)
         self.formats = {k: Automaton([symbols(s) for s in labelled[k]], _SYMBOLS) for k in KINDS if len(labelled.get(k, ())) >= MIN_SAMPLE}
-        self.threshold = {
-            k: max([MIN_RATIO, *(self._ratio(k, symbols(s)) + 1.0 for s in [*ordinary, *_FILLERS])]) for k in self.formats
-        }
+        rest = [symbols(s) for s in [*ordinary, *_FILLERS]]
+        self.threshold = {k: max(MIN_RATIO, sorted(self._ratio(k, s) for s in rest)[int(ORDINARY_SHARE * len(rest))] + 1.0) for k in self.formats}
 
     def _ratio(self, kind: str, string: tuple) -> float:
         return self.formats[kind].log_likelihood(string) - self.background.log_likelihood(string)
