@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,17 +88,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` that hold about ``most`` bytes each, so that numpy
-    work space is bounded whatever the batch size; a longer text is alone."""
+def text_parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A string column in parts (start, end, values as bytes) of about ``most``
+    bytes, so that work space is bounded whatever the batch; a longer text is
+    alone. Afterwards freed memory goes back to the system."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
+    for i, n in enumerate([*sizes, most]):
+        if size and (size + n > most or i == len(sizes)):
+            yield start, i, utf8(column.slice(start, i - start))
             start, size = i, 0
-        size += len(t) + 64
-    if start < len(texts):
-        yield start, len(texts)
+        size += n + 64
+    trim()
 
 
 def trim() -> None:
@@ -110,6 +112,13 @@ def trim() -> None:
         return
 
 
+def forget(*broadcasts) -> None:
+    """Drop this worker's copies of large broadcast values; a later task that
+    asks for one loads it again. An idle worker then holds none."""
+    for b in broadcasts:
+        vars(b).pop("_value", None)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words: runs of ASCII letters, digits and non-ASCII."""
     return text.translate(WORD_TABLE).split()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, materialise, mix64, text_chunks, utf8, words_of
+from .common import WORD_TABLE, materialise, mix64, text_parts, words_of
 
 N_GRAM = 13
 #: The broadcast index holds at most this many benchmark words (about 250 MB);
@@ -178,16 +178,15 @@ def _run(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema) -> DataF
 
         def run(batches, shared=shared, last=last, first=k == 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = utf8(b.column(at))
-                for lo, hi in text_chunks(texts):
+                for lo, hi, texts in text_parts(b.column(at)):
                     part = b.slice(lo, hi - lo)
                     before = None
                     if not first:
                         before = list(zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist()))
                         part = part.select(range(width))
-                    s = _pass(texts[lo:hi], shared.value, before)
+                    s = _pass(texts, shared.value, before)
                     if last:
-                        yield finish(part, texts[lo:hi], s)
+                        yield finish(part, texts, s)
                         continue
                     flags = [np.packbits(s.hit[a : a + m]).tobytes() for a, m in zip(s.starts, s.n_words)]
                     yield pa.RecordBatch.from_arrays(

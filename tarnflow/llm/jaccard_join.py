@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingles_of, text_chunks, utf8
+from .common import materialise, mix64, shingles_of, text_parts, trim, utf8
 from .components import components
 
 SHINGLE = 5
@@ -103,10 +103,9 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(1))
             keys, sizes, sketches, seen = [], [], [], {}
-            for lo, hi in text_chunks(texts):
-                for t in texts[lo:hi]:
+            for _, _, texts in text_parts(b.column(1)):
+                for t in texts:
                     s = shingles_of(t, SHINGLE)
                     key = xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
                     if key is not None and key not in seen:
@@ -256,6 +255,7 @@ def _with_candidates(tasks: DataFrame, similarity: float) -> DataFrame:
             i, j = _candidates(sk, n, mask, block, x != y, slot, similarity)
             if len(i):
                 yield from t.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+        trim()
 
     return _sorted_by_bucket(tasks).mapInArrow(run, tasks.schema)
 
@@ -320,19 +320,22 @@ def _verified(tasks: DataFrame, similarity: float) -> DataFrame:
                 ],
                 ["key", "root", "links", "linked_docs"],
             )
+        trim()
 
     return _sorted_by_bucket(tasks).mapInArrow(run, "key string, root string, links long, linked_docs long")
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted classes, from one document of each."""
+    """(key, shingles) of the wanted classes, from one document of each. Rows of
+    one doc_id may have different texts: only the class's own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([shingles_of(t, SHINGLE).tobytes() for t in utf8(b.column(1))], pa.binary())],
-                ["key", "shingles"],
-            )
+            for lo, hi, texts in text_parts(b.column(1)):
+                shingles = [shingles_of(t, SHINGLE).tobytes() for t in texts]
+                good = [k == xxhash.xxh3_128_hexdigest(s) for k, s in zip(b.column(0)[lo:hi].to_pylist(), shingles)]
+                out = pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(shingles, pa.binary())], ["key", "shingles"])
+                yield out.filter(pa.array(good, pa.bool_()))
 
     return docs.join(wanted, "doc_id").select("key", "text").mapInArrow(run, "key string, shingles binary")
 
@@ -340,7 +343,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables. ``members``: doc_id, key of every row. ``classes``: key,
     first (least doc_id), n_docs, group (root key), links and linked_docs."""
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     found = materialise(sets(docs), "sets")
     members = found.select("doc_id", "key")
     classes = found.where("key is not null").groupBy("key").agg(
@@ -358,8 +361,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     text = _shingles(docs, F.broadcast(near) if small else near)
     if not by_key.isEmpty():
         text = text.unionByName(_shingles_by_key(docs.where("doc_id is null"), by_key))
-    # Rows of one doc_id may have different texts: only the class's own counts.
-    text = _checked(text).dropDuplicates(["key"])
+    text = text.dropDuplicates(["key"])
     full = tasks.join(text, "key").join(wanted.select("key", "n_docs"), "key")
     links = materialise(_verified(full, similarity), "links")
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
@@ -373,15 +375,6 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     return members, out.fillna(0, ["links", "linked_docs"])
 
 
-def _checked(text: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [k == xxhash.xxh3_128_hexdigest(s) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(good, pa.bool_()))
-
-    return text.mapInArrow(run, text.schema)
-
-
 def _shingles_by_key(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, hash_words, rolling, text_chunks, utf8
+from .common import WORD_TABLE, hash_words, rolling, text_parts, utf8
 
 #: A line that more documents of a host have is boilerplate there.
 MAX_DOCS = 100
@@ -92,9 +92,11 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
             return made
 
         for b in batches:
-            for h, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                count.update((h, x) for x in lines_of(t))
-                if len(count) > 200_000:
+            hosts = b.column(0).to_pylist()
+            for lo, hi, texts in text_parts(b.column(1)):
+                for h, t in zip(hosts[lo:hi], texts):
+                    count.update((h, x) for x in lines_of(t))
+                if len(count) > 100_000:
                     yield out()
         if count:
             yield out()
@@ -122,17 +124,16 @@ def report(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 36
         for b in batches:
-            texts = utf8(b.column(2))
-            for lo, hi in text_chunks(texts):
+            for lo, hi, texts in text_parts(b.column(2)):
                 of, keys, words, rows = [], [], [], []
                 firsts = []
                 for k in range(lo, hi):
-                    lines = lines_of(texts[k]) or {0: 0}
+                    lines = lines_of(texts[k - lo]) or {0: 0}
                     firsts += [True, *[False] * (len(lines) - 1)]
                     of += [k] * len(lines)
                     keys += lines
                     words += lines.values()
-                    rows += [measures(texts[k]), *[(None,) * 5] * (len(lines) - 1)]
+                    rows += [measures(texts[k - lo]), *[(None,) * 5] * (len(lines) - 1)]
                 take = pa.array(of, pa.int64())
                 ids = b.column(0).take(take)
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +147,7 @@ def report(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_
                     ],
                     ["_row", "doc_id", _HOST, "_line", "_words", *_MEASURES],
                 )
-            serial += len(texts)
+            serial += b.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, doc_id {kind}, {_HOST} string, _line long, _words long, " + ", ".join(f"{c} long" for c in _MEASURES)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, hash_words, materialise, mix64, text_chunks, trim, utf8
+from .common import MIX, forget, hash_words, materialise, mix64, text_parts, trim
 
 ORDER = 2
 MU = 500.0
@@ -227,9 +227,8 @@ def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTE
 
         size = 0
         for b in batches:
-            texts = utf8(b.column(0))
-            for lo, hi in text_chunks(texts, CHUNK):
-                tokens, _ = _tokens(texts[lo:hi])
+            for _, _, texts in text_parts(b.column(0), CHUNK):
+                tokens, _ = _tokens(texts)
                 for k in range(order):
                     held[k].append(_ngrams(tokens, k + 1))
                 size += len(tokens)
@@ -368,9 +367,8 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
 
             pending = 0
             for b in batches:
-                texts = utf8(b.column(2))
-                for lo, hi in text_chunks(texts, CHUNK):
-                    tokens, n = _tokens(texts[lo:hi])
+                for lo, hi, texts in text_parts(b.column(2), CHUNK):
+                    tokens, n = _tokens(texts)
                     own = tokens[1:]
                     starts = np.cumsum(n) - n
                     seen = unigrams.counts(tokens)
@@ -403,9 +401,11 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                     if pending > FLUSH:
                         yield send()
                         pending = 0
-                serial += len(texts)
+                serial += b.num_rows
             if pending:
                 yield send()
+            del known_words, exact, unigrams, higher
+            forget(frequent, words, segment)
             trim()
 
         return run

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_chunks, utf8
+from .common import materialise, text_parts
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -121,10 +121,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, width = encoder(tokenizer), 4 * capacity
         for b in batches:
-            texts = utf8(b.column(1))
-            for lo, hi in text_chunks(texts):
+            for lo, _, texts in text_parts(b.column(1)):
                 of, piece, parts = [], [], []
-                for k, ids in enumerate(enc.encode(texts[lo:hi]), lo):
+                for k, ids in enumerate(enc.encode(texts), lo):
                     ids += _END
                     for p, at in enumerate(range(0, len(ids), width)):
                         of.append(k)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, utf8
+from .common import materialise, text_parts, utf8
 from .line_rules import repeat_words
 
 #: The classifier is fitted on at most this many labelled documents, those with
@@ -108,8 +108,8 @@ def _scored(docs: DataFrame, model, name: str, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in utf8(b.column(0))]).reshape(-1, len(FEATURES))
-            logit = model.value.logits(x)
+            x = [features(t) for _, _, texts in text_parts(b.column(0)) for t in texts]
+            logit = model.value.logits(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(logit)], [*b.schema.names[1:], name])
 
     source = docs.select("text", *[F.col(f"`{c}`") for c in keep])
