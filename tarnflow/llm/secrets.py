@@ -10,8 +10,10 @@ Spans of the base patterns are always in.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,18 +24,26 @@ from .common import materialise
 
 KINDS = ("assign", "access", "hex")
 #: Labelled values of each kind, and ordinary tokens, that automata are inferred
-#: from: those with the least hashes, whatever the corpus size.
+#: from: those with the least hashes, whatever the corpus size. Thresholds take
+#: all ordinary tokens.
 MAX_SAMPLE = 400
 #: Log-likelihood ratio a token needs over ordinary text, at least; and above
 #: this share of the ordinary tokens (not all: unlabelled secrets are among them).
 MIN_RATIO = 6.0
 ORDINARY_SHARE = 0.95
+#: Ratios are counted in so many bins to a factor of e: 0.4 % wide.
+BINS = 256
+#: Distinct tokens that a task gathers before it hands them on.
+FLUSH = 100_000
 #: Different characters that a candidate has, at least.
 MIN_DISTINCT = 6
 #: A credential sample of fewer strings infers no format.
 MIN_SAMPLE = 20
 #: Symbols of a token that are scored; the rest of a longer one is alike.
 LONGEST = 80
+#: Characters of all values that one automaton is inferred from. Values are whole
+#: or not among them; tokens are scored whole, whatever their length.
+MAX_SYMBOLS = 200_000
 Span = tuple[int, int]
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -67,10 +77,20 @@ def _value(t: str, span: tuple[int, int, int]) -> str:
     return _ASSIGN.match(t, a)[2] if k == 0 else t[a:b]
 
 
+def _mixed(s: str) -> bool:
+    return not s.isalpha() and _DIGIT.search(s) is not None and len(set(s)) >= MIN_DISTINCT
+
+
+def _strings(token: str) -> list[Span]:
+    """What is scored of a token."""
+    whole = (0, len(token))
+    return [whole]
+
+
 def _ordinary(t: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
     """Tokens outside base spans that have a digit and no few characters."""
     for m in _TOKEN.finditer(t):
-        if not m[0].isalpha() and _DIGIT.search(m[0]) and len(set(m[0])) >= MIN_DISTINCT and all(m.end() <= a or m.start() >= b for a, _, b in taken):
+        if _mixed(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b in taken):
             yield m
 
 
@@ -80,21 +100,56 @@ class Scanner:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.background = Automaton([symbols(s) for s in ordinary] + [symbols(w) for w in _FILLERS], _SYMBOLS)
         self.formats = {k: Automaton([symbols(s) for s in labelled[k]], _SYMBOLS) for k in KINDS if len(labelled.get(k, ())) >= MIN_SAMPLE}
-        rest = [symbols(s) for s in [*ordinary, *_FILLERS]]
-        self.threshold = {k: max(MIN_RATIO, sorted(self._ratio(k, s) for s in rest)[int(ORDINARY_SHARE * len(rest))] + 1.0) for k in self.formats}
-
-    def _ratio(self, kind: str, string: tuple) -> float:
-        return self.formats[kind].log_likelihood(string) - self.background.log_likelihood(string)
+        self.settle(self.histogram(ordinary))
+
+    def histogram(self, tokens: Iterable[str]) -> Counter:
+        """How many of the tokens fall in each (kind, bin of their ratio); all
+        ratios up to 1 are in bin 0."""
+        out: Counter = Counter()
+        for t in tokens:
+            for k, (r, _) in self._best(t).items():
+                out[k, math.ceil(BINS * math.log(max(r, 1.0)))] += 1
+        return out
+
+    def settle(self, ordinary: Counter) -> None:
+        """Thresholds from the histogram of all ordinary tokens and the fillers."""
+        counts = ordinary + self.histogram(_FILLERS)
+        self.threshold = {}
+        for kind in self.formats:
+            bins = sorted((b, n) for (k, b), n in counts.items() if k == kind)
+            above = int(ORDINARY_SHARE * sum(n for _, n in bins))
+            for b, n in bins:
+                above -= n
+                if above < 0:
+                    self.threshold[kind] = max(MIN_RATIO, math.exp(b / BINS) + 1.0)
+                    break
+
+    def _best(self, token: str) -> dict[str, tuple[float, Span]]:
+        """For each kind the largest ratio of the token and its parts, and whose."""
+        out: dict[str, tuple[float, Span]] = {}
+        for a, b in _strings(token):
+            string = symbols(token[a:b])
+            base = self.background.log_likelihood(string)
+            for k, f in self.formats.items():
+                r = f.log_likelihood(string) - base
+                if k not in out or r > out[k][0]:
+                    out[k] = r, (a, b)
+        return out
+
+    def find(self, token: str) -> tuple[str, Span] | None:
+        """The likeliest kind whose threshold the token, or a part of it, passes,
+        and where."""
+        found = [(r, k, span) for k, (r, span) in self._best(token).items() if r > self.threshold[k]]
+        return max(found)[1:] if found else None
 
     def judge(self, token: str) -> str | None:
-        """The likeliest kind whose threshold the token passes."""
-        string = symbols(token)
-        found = [(r, k) for k in self.formats if (r := self._ratio(k, string)) > self.threshold[k]]
-        return max(found)[1] if found else None
+        found = self.find(token)
+        return found and found[0]
 
     def spans(self, t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = base_spans(t)
-        more = [(m.start(), KINDS.index(k), m.end()) for m in _ordinary(t, base) if (k := self.judge(m[0]))]
+        found = [(m.start(), x) for m in _ordinary(t, base) if (x := self.find(m[0]))]
+        more = [(at + a, KINDS.index(k), at + b) for at, (k, (a, b)) in found]
         return base, sorted(base + more)
 
 
@@ -107,40 +162,66 @@ _FILLERS = tuple(
 )
 
 
+def _fitting(values: list[str]) -> list[str]:
+    """Those of ``values``, first ones first, that fit into MAX_SYMBOLS."""
+    out, room = [], MAX_SYMBOLS
+    for v in values:
+        if len(v) <= room:
+            out.append(v)
+            room -= len(v)
+    return out
+
+
 def train(docs: DataFrame, most: int = MAX_SAMPLE) -> Scanner:
     """A scanner whose automata are inferred from at most ``most`` distinct
     values of each kind that the base patterns label in ``docs``, and as many
-    ordinary tokens; those with the least hashes of all documents."""
+    ordinary tokens; those with the least hashes of all documents. Its
+    thresholds are set over all distinct ordinary tokens. A value that is
+    labelled anywhere is a known credential and nowhere an ordinary token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[bytes, str]] = {k: {} for k in (*KINDS, "")}
+        held: set[tuple[str, str]] = set()
 
-        def offer(kind: str, value: str) -> None:
-            h, held = hashlib.blake2b(value.encode(), digest_size=8).digest(), best[kind]
-            held[h] = value
-            if len(held) > 4 * most:
-                for x in sorted(held)[most:]:
-                    del held[x]
+        def out() -> pa.RecordBatch:
+            kinds, values = [k for k, _ in held], [v for _, v in held]
+            hashes = [hashlib.blake2b(v.encode(), digest_size=8).digest() for v in values]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(hashes, pa.binary()), pa.array(values, pa.string())], ["kind", "h", "value"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 base = base_spans(t or "")
-                for s in base:
-                    offer(KINDS[s[1]], _value(t, s)[:LONGEST])
-                for m in _ordinary(t or "", base):
-                    offer("", m[0][:LONGEST])
-        rows = [(k, h, held[h]) for k, held in best.items() for h in sorted(held)[:most]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())],
-            ["kind", "h", "value"],
-        )
-
-    # A few hundred rows a task and kind.
-    found = materialise(docs.select("text").mapInArrow(run, "kind string, h binary, value string"), "values").distinct()
-    rows = {k: [r.value for r in found.where(F.col("kind") == k).orderBy("h").limit(most).collect()] for k in (*KINDS, "")}
+                held.update((KINDS[s[1]], _value(t, s)) for s in base)
+                held.update(("", m[0]) for m in _ordinary(t or "", base))
+                if len(held) > FLUSH:
+                    yield out()
+        yield out()
+
+    found = materialise(docs.select("text").mapInArrow(run, "kind string, h binary, value string").distinct(), "values")
+    known = found.where("kind <> ''").select("value").distinct()
+    ordinary = materialise(found.where("kind = ''").join(known, "value", "left_anti"), "ordinary")
+
+    def sample(values: DataFrame) -> list[str]:
+        return _fitting([r.value for r in values.where(F.length("value") <= MAX_SYMBOLS).orderBy("h", "value").limit(most).collect()])
+
+    rows = {k: sample(found.where(F.col("kind") == k)) for k in KINDS}
     # Values that an assignment shares with another kind tell that kind's form.
     rows["assign"] = [v for v in rows["assign"] if not (_ACCESS.fullmatch(v) or _HEX.fullmatch(v))]
-    return Scanner(rows, rows[""])
+    scanner = Scanner(rows, sample(ordinary))
+    shared = docs.sparkSession.sparkContext.broadcast(scanner)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = shared.value.histogram(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in n], pa.string()), pa.array([x for _, x in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["kind", "bin", "n"]
+            )
+
+    # A few thousand bins a kind.
+    weighed = ordinary.select("value").mapInArrow(weigh, "kind string, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+    scanner.settle(Counter({(r.kind, r.bin): r.n for r in weighed.collect()}))
+    shared.unpersist()
+    return scanner
 
 
 def _written(spans) -> str:

@@ -67,3 +67,28 @@ def test_report(spark, odd, none):
     assert got[0].base_sha256 == hashlib.sha256(got[0].spans.encode()).hexdigest()
     assert got[900].n_hex == 0 and got[900].n_added == 1 and got[900].spans.endswith(":7:30")
     assert got[901].spans == "" and got[902].spans == "access:0:20"
+
+
+def bare(n, size, seed):
+    """Hexadecimal values too short for the base pattern, each with a digit."""
+    return [v for v in hexes(2 * n, size, seed) if re.search("[0-9]", v) and len(set(v)) >= S.MIN_DISTINCT][:n]
+
+
+def test_thresholds_are_set_over_all_ordinary_tokens(spark):
+    """Those of 60 tokens would do for the sample, not for all 900."""
+    labelled = [(k, f"token = {v}") for k, v in enumerate(hexes(60))]
+    odd = [(1000 + k, f"see {v} here") for k, v in enumerate(bare(900, 20, 3))]
+    s = S.train(spark.createDataFrame(labelled + odd, "doc_id long, text string"), 60)
+    passed = sum(s.judge(t[1].split()[1]) is not None for t in odd)
+    assert passed <= (1 - S.ORDINARY_SHARE) * (900 + len(S._FILLERS))
+
+
+def test_known_credentials_are_not_ordinary_tokens(spark):
+    """Values of assignments stand bare elsewhere too: more of them than the
+    share that thresholds leave above themselves."""
+    rng = random.Random(4)
+    values = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) + "7" for _ in range(300)]
+    rows = [(k, f"password: {v}") for k, v in enumerate(values)] + [(1000 + k, f"use {v} now") for k, v in enumerate(values)]
+    rows += [(2000 + k, f"order item-number-{k:04d} came") for k in range(300)]
+    got = {r.doc_id: r.n_added for r in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + k] for k in range(300)) >= 290 and sum(got[2000 + k] for k in range(300)) == 0
