@@ -39,8 +39,6 @@ FLUSH = 100_000
 MIN_DISTINCT = 6
 #: A credential sample of fewer strings infers no format.
 MIN_SAMPLE = 20
-#: Symbols of a token that are scored; the rest of a longer one is alike.
-LONGEST = 80
 #: Characters of all values that one automaton is inferred from. Values are whole
 #: or not among them; tokens are scored whole, whatever their length.
 MAX_SYMBOLS = 200_000
@@ -51,6 +49,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: What stands between the separators of paths and queries.
+_PART = re.compile(r"[A-Za-z0-9+_-]{12,}")
 #: Classes of characters after the fourth: digits, a-f, other small letters,
 #: capitals; other characters, and the first four, stand for themselves.
 _CLASS = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
@@ -59,7 +59,7 @@ _SYMBOLS = 75
 
 def symbols(token: str) -> tuple:
     head = tuple(c if _CLASS.get(c) == "A" else _CLASS.get(c, c) for c in token[:4])
-    return head + tuple(_CLASS.get(c, c) for c in token[4:LONGEST])
+    return head + tuple(_CLASS.get(c, c) for c in token[4:])
 
 
 def base_spans(t: str) -> list[tuple[int, int, int]]:
@@ -82,9 +82,9 @@ def _mixed(s: str) -> bool:
 
 
 def _strings(token: str) -> list[Span]:
-    """What is scored of a token."""
+    """What is scored of a token: the whole of it, and its parts."""
     whole = (0, len(token))
-    return [whole]
+    return [whole, *(m.span() for m in _PART.finditer(token) if m.span() != whole and _mixed(m[0]))]
 
 
 def _ordinary(t: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:

@@ -92,3 +92,20 @@ def test_known_credentials_are_not_ordinary_tokens(spark):
     rows += [(2000 + k, f"order item-number-{k:04d} came") for k in range(300)]
     got = {r.doc_id: r.n_added for r in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[1000 + k] for k in range(300)) >= 290 and sum(got[2000 + k] for k in range(300)) == 0
+
+
+def test_tokens_are_scored_whole():
+    """What stands after the 80th character counts, and parts are found there."""
+    words = "-".join(["plain", "words", "of", "a", "title"] * 4)
+    s = S.Scanner({"hex": hexes(200)}, [f"{words}-{k}" for k in range(100)])
+    head, tail = bare(1, 23, seed=7)[0], bare(1, 23, seed=8)[0]
+    assert len(words) > 80 and s.spans(f"a {words}-1/{words}/2 b") == ([], [])
+    assert s.spans(f"a {words}/{tail} b")[1] == [(2 + len(words) + 1, 2, 2 + len(words) + 24)]
+    assert s.spans(f"a {head}/{words}-2 b")[1] == [(2, 2, 25)]
+    long = "".join(hexes(3, seed=9))[:85].translate(str.maketrans("a", "b"))
+    assert s.judge(long) == "hex" and s.judge(f"{long}-{'-'.join([words] * 20)}") is None
+
+
+def test_values_of_a_sample_are_whole(monkeypatch):
+    monkeypatch.setattr(S, "MAX_SYMBOLS", 10)
+    assert S._fitting(["abcde", "abcdefgh", "abc"]) == ["abcde", "abc"]
