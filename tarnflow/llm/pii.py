@@ -83,12 +83,10 @@ def base_spans(t: str) -> dict[str, list[Span]]:
 # Generators: what might be personal data, and mostly is not. Each kind has
 # several, whose spans may overlap. Repeats are bounded, so that each is linear
 # in any text.
+_AT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s?@\s?|\s(?:at|AT)\s)"
+_LABELS = r"[\w-]{1,63}(?:(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\.|\s(?:dot|DOT)\s)[\w-]{1,63})"
 _MAYBE = {
-    "email": (
-        re.compile(
-            r"[\w.+-]{1,64}(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s?@\s?|\s(?:at|AT)\s)[\w-]{1,63}(?:(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\.|\s(?:dot|DOT)\s)[\w-]{1,63}){1,6}"
-        ),
-    ),
+    "email": (re.compile(rf"[\w.+-]{{1,64}}{_AT}{_LABELS}{{1,6}}"),),
     "ip": (
         re.compile(r"(?<![\w.])(?:\d{1,4}(?:\.|\[\.\]|\s\.\s?)){3}\d{1,4}(?![\w])"),
         re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
@@ -102,7 +100,9 @@ _MAYBE = {
         re.compile(r"\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\w)"),
     ),
 }
-_OBFUSCATED = re.compile(r"@|(?i:\bat\b.{1,70}\bdot\b)")
+#: A part of whatever the e-mail generator matches, so that texts without it have
+#: no such candidate.
+_OBFUSCATED = re.compile(_AT.replace(r"\s?[", "[", 1).replace(r"\s?@", "@", 1) + _LABELS)
 _HINTS = {
     "email": re.compile(r"(?i)\be-?mail|\bmail|contact|write to|reach|correo|courriel"),
     "ip": re.compile(r"(?i)\bip\b|address|host|server|login|from|client"),

@@ -82,3 +82,30 @@ def test_report_and_redaction(spark, odd, none):
 
 def test_overlapping_spans_are_cut_once():
     assert pii.cut("abcdefgh", [(0, 1, 4), (3, 2, 6), (1, 7, 8)]) == "a<EMAIL>g<IP>"
+
+
+AT = ["@", " @ ", " at ", " AT ", "[at]", " [at] ", "(at)", " (at) ", "{AT}", " < @ > ", "\nat\n", " (at)\n"]
+DOT = [".", " dot ", " DOT ", "[dot]", " [dot] ", "(.)", " (dot) ", "\ndot\n"]
+
+
+@pytest.mark.parametrize("at", AT)
+def test_no_gate_stops_the_email_generator(at):
+    for dot in DOT:
+        t = f"so jane.roe{at}example{dot}com came"
+        (m,) = pii._MAYBE["email"][0].finditer(t)
+        assert (0, *m.span()) in pii.candidates(t) and t[m.start() : m.end()].startswith("jane.roe"), t
+
+
+def test_every_positive_template_gives_a_candidate(monkeypatch):
+    """No labelled value of the sample is lost, positive or not."""
+    seen, plain = [], pii.candidates
+    monkeypatch.setattr(pii, "candidates", lambda t: seen.append((t, plain(t))) or seen[-1][1])
+    pii.training_sample(1000, seed=5)
+    assert all(c for t, c in seen if re.search(r"\(at\) |\[at\]| at \w+ dot ", t))
+    assert sum(" (at) " in t for t, _ in seen) > 10
+
+
+def test_bracketed_addresses_are_found(selector):
+    for t in ("write to jane.roe (at) example.com today", "contact jane.roe [at] example.com today", "mail jane.roe\n[at] example\n[dot] com"):
+        ((_, spans),) = selector.spans([t])
+        assert [pii.KINDS[k] for k, _, _ in spans] == ["email"], t
