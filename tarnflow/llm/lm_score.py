@@ -141,8 +141,12 @@ class Filters:
     def counts(self, h: np.ndarray) -> np.ndarray:
         if not len(h):
             return np.zeros(0)
+        return _VALUES[self.distinct_levels(h)]
+
+    def distinct_levels(self, h: np.ndarray) -> np.ndarray:
+        """As ``levels``, with one look-up for each distinct hash."""
         unique, back = np.unique(h, return_inverse=True)
-        return _VALUES[self.levels(unique)][back]
+        return self.levels(unique)[back]
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +174,18 @@ def _ngrams(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def _log_p(counts: list[np.ndarray], norm: float, mu: float) -> np.ndarray:
+    """The log10 probability of each token, from the counts of the n-grams that
+    end there, by order. The last token is an end token, as is the leading one."""
+    p = (counts[0] + 0.5) / norm
+    context = np.concatenate([counts[0][-1:], counts[0][:-1]])
+    for own in counts[1:]:
+        c = np.minimum(own, context)
+        p = np.where(context > 0, (c + mu * p) / (context + mu), p)
+        context = np.concatenate([[0.0], c[:-1]])
+    return np.log10(p)
+
+
 def _pack(slices: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Per slice, its keys (40 bits: 4 and 1 bytes) and counts (4 bytes)."""
     order = np.argsort(slices, kind="stable")
@@ -202,7 +218,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
     """A stored table with a row for each slice that has training tokens, and
     the number of slices. Columns: slice, n_tokens, n_words, words (keys and
     exact counts of the words), filters and probes (by order)."""
@@ -239,8 +255,6 @@ def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTE
             yield out()
         trim()
 
-    share = max_filter_bytes // slices
-
     def build(group: pa.Table) -> pa.Table:
         by_order: dict[int, list[bytes]] = {}
         for n, blob in zip(group.column("n").to_pylist(), group.column("blob").to_pylist()):
@@ -248,7 +262,7 @@ def train(docs: DataFrame, order: int = ORDER, max_filter_bytes: int = MAX_FILTE
         filters, probes = [], []
         words, counts = _unpack(by_order.get(1, []))
         for n in range(1, order + 1):
-            data, k = build_filter(*(_unpack(by_order.get(n, [])) if n > 1 else (words, counts)), share if n == 1 else 1 << 62)
+            data, k = build_filter(*(_unpack(by_order.get(n, [])) if n > 1 else (words, counts)), 1 << 62)
             filters.append(data)
             probes.append(k)
         table = words.tobytes() + counts.tobytes()
@@ -322,37 +336,36 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
     are not read. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    model, slices = train(docs, order, max_filter_bytes)
+    model, slices = train(docs, order)
     total, distinct = model.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     least, keys, counts = frequent_words(model, slices, max_frequent)
     frequent = spark.sparkContext.broadcast((keys, counts))
     norm = total + 0.5 * (distinct + 1)
 
-    # Segments of slices, each within the bound; words (order 1) have their own
-    # bound, so each pass has those of all slices.
+    # Segments of slices, each within the bound, filters of all orders together.
     sizes = model.select("slice", *[F.octet_length(F.col("filters")[k]).alias(f"f{k}") for k in range(order)]).collect()
     segments, room = [[]], max_filter_bytes
     for r in sorted(sizes):
-        need = sum(r[2:])
+        need = sum(r[1:])
         if segments[-1] and need > room:
             segments.append([])
             room = max_filter_bytes
         segments[-1].append(r[0])
         room -= need
 
-    def fetch(k: int, ids: list[int] | None = None) -> Filters:
-        rows = model if ids is None else model.where(F.col("slice").between(ids[0], ids[-1]))
+    def fetch(k: int, ids: list[int]) -> Filters:
+        rows = model.where(F.col("slice").between(ids[0], ids[-1]))
         rows = rows.select("slice", F.col("filters")[k].alias("f"), F.col("probes")[k].alias("p"))
         return Filters.join(slices, {r.slice: (bytes(r.f), r.p) for r in rows.toLocalIterator()})
 
-    words = spark.sparkContext.broadcast(fetch(0))
+    single = len(segments) == 1
 
     def scan(first: bool, segment):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             serial = TaskContext.get().partitionId() << 36
             rare: list[np.ndarray] = []
             known_words, exact = frequent.value
-            unigrams, (higher, owned) = words.value, segment.value
+            owned = segment.value
 
             def send() -> pa.RecordBatch:
                 h, row = np.concatenate([r[0] for r in rare]), np.concatenate([r[1] for r in rare])
@@ -371,21 +384,16 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                     tokens, n = _tokens(texts)
                     own = tokens[1:]
                     starts = np.cumsum(n) - n
-                    seen = unigrams.counts(tokens)
-                    p = (seen[1:] + 0.5) / norm
-                    inside = np.ones(len(own), dtype=bool)
-                    context = seen[:-1]
-                    for k in range(1, order):
-                        grams = _ngrams(tokens, k + 1)
-                        if k == 1:  # a token belongs to the segment of its bigram
-                            inside = owned[slice_of(grams, slices)]
-                        c = np.minimum(higher[k - 1].counts(grams), context)
-                        p = np.where(context > 0, (c + mu * p) / (context + mu), p)
-                        context = c if k + 1 == order else np.concatenate([[0.0], c[:-1]])
-                    log_p = np.add.reduceat(np.where(inside, np.log10(p), 0.0), starts)
+                    grams = [own, *(_ngrams(tokens, k + 1) for k in range(1, order))]
+                    if single:
+                        log_p = np.add.reduceat(_log_p([f.counts(g) for f, g in zip(owned, grams)], norm, mu), starts)
+                    else:
+                        # Each n-gram has its level from one pass and 0 from the others.
+                        log_p = None
+                        levels = np.concatenate([f.distinct_levels(g) for f, g in zip(owned, grams)]).astype(np.uint8)
+                        yield _rows(1, row=[serial + lo], levels=[levels.tobytes()], sizes=[n.tobytes() if first else None])
                     row = serial + np.arange(lo, hi)
                     if not first:
-                        yield _rows(hi - lo, row=row, score=log_p)
                         continue
                     short = own & _LOW | slice_of(own, slices).astype(np.uint64) << np.uint64(40)
                     place = np.minimum(np.searchsorted(known_words, short), max(len(known_words) - 1, 0))
@@ -404,18 +412,19 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                 serial += b.num_rows
             if pending:
                 yield send()
-            del known_words, exact, unigrams, higher
-            forget(frequent, words, segment)
+            del known_words, exact, owned
+            forget(frequent, segment)
             trim()
 
         return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    schema = f"row long, score double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, slice int, blob binary"
+    schema = f"row long, score double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, slice int, blob binary, levels binary, sizes binary"
     types = {
         "row": pa.int64(), "score": pa.float64(), "doc_id": id_type, "held_out": pa.bool_(), "n_tokens": pa.int64(),
         "n_known": pa.int64(), "base": pa.float64(), "slice": pa.int32(), "blob": pa.binary(),
+        "levels": pa.binary(), "sizes": pa.binary(),
     }
 
     def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -428,17 +437,14 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
     made = None
     for k, ids in enumerate(segments):
-        owned = np.zeros(slices, dtype=bool)
-        owned[ids[0] if k else 0 : segments[k + 1][0] if k + 1 < len(segments) else slices] = True
-        parts = [fetch(n, ids) if ids else Filters.join(slices, {}) for n in range(1, order)]
-        segment = spark.sparkContext.broadcast((parts, owned))
+        parts = [fetch(n, ids) if ids else Filters.join(slices, {}) for n in range(order)]
+        segment = spark.sparkContext.broadcast(parts)
         del parts
         part = source.mapInArrow(scan(k == 0, segment), schema)
         # Stored at once: one segment is in the workers at a time, and none later.
         part = materialise(part, "scores")
         segment.destroy()
         made = part if made is None else made.unionByName(part)
-    words.destroy()
     frequent.destroy()
 
     def look_up(group: pa.Table) -> pa.Table:
@@ -465,11 +471,24 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
             }
         )
 
+    def put_together(group: pa.Table) -> pa.Table:
+        """The scores of one part of texts from its levels of all passes."""
+        levels = np.zeros(len(group.column("levels")[0].as_buffer()), np.uint8)
+        for x in group.column("levels"):
+            levels |= np.frombuffer(x.as_buffer(), np.uint8)
+        n = np.frombuffer(next(x.as_buffer() for x in group.column("sizes") if x.is_valid), np.int64)
+        log_p = _log_p([_VALUES[x] for x in levels.reshape(order, -1)], norm, mu)
+        return pa.table({"row": group.column("row")[0].as_py() + np.arange(len(n)), "score": np.add.reduceat(log_p, np.cumsum(n) - n)})
+
     rare = made.where("blob is not null").select("slice", F.lit(None).cast("long").alias("n_words"), "blob")
     rare = rare.unionByName(model.select("slice", "n_words", F.col("words").alias("blob")))
     sums = rare.groupBy("slice").applyInArrow(look_up, "row long, n_known long, base double")
-    own = made.where("blob is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    both = own.unionByName(sums, allowMissingColumns=True).groupBy("row")
+    own = made.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    both = own.unionByName(sums, allowMissingColumns=True)
+    if not single:
+        parts = made.where("levels is not null").select("row", "levels", "sizes")
+        both = both.unionByName(parts.groupBy("row").applyInArrow(put_together, "row long, score double"), allowMissingColumns=True)
+    both = both.groupBy("row")
     out = both.agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),

@@ -103,3 +103,13 @@ def test_blobs_round_trip():
     for at, parts in blobs.items():
         keys, n = L._unpack(parts)
         assert (keys == np.sort(h[s == at] & L._LOW)).all() and (n == 5).all()
+
+
+def scores(df):
+    return sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in df.collect())
+
+
+def test_scores_are_equal_in_one_pass_and_in_many(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").where("doc_id < 60")
+    one, many = scores(L.score(docs)), scores(L.score(docs, max_filter_bytes=1 << 14))
+    assert len(one) == len(many) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12) for a, b in zip(one, many))
