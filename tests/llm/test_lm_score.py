@@ -113,3 +113,10 @@ def test_scores_are_equal_in_one_pass_and_in_many(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").where("doc_id < 60")
     one, many = scores(L.score(docs)), scores(L.score(docs, max_filter_bytes=1 << 14))
     assert len(one) == len(many) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12) for a, b in zip(one, many))
+
+
+def test_trigrams_are_counted_in_all_segments(spark, sf_dir):
+    """A trigram's slice is mostly in another segment than its bigram's."""
+    docs = read_table(spark, sf_dir, "documents").where("doc_id < 60")
+    one, many = scores(L.score(docs, order=3)), scores(L.score(docs, order=3, max_filter_bytes=1 << 14))
+    assert len(one) == len(many) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-12) for a, b in zip(one, many))
