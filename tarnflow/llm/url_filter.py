@@ -16,8 +16,6 @@ BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 MAX_BROADCAST = 500_000
 #: Beyond it, the captures of a hot host are joined in this many groups.
 SALTS = 16
-#: Path segments that prefixes are made of; list patterns have no more.
-MAX_SEGMENTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -33,14 +31,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), r"^[A-Za-z]+://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
+def depth_of(entries: DataFrame) -> int:
+    """The largest number of path segments that a pattern has."""
+    return entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+
+
+def keys_of(url: Column, depth: int) -> Column:
     """The list patterns a URL falls under, most specific last: its parent
     domains and host ("a.example.com", "example.com", "com"), then host and path
-    prefixes ("a.example.com/x", "a.example.com/x/y")."""
+    prefixes ("a.example.com/x", "a.example.com/x/y") of up to ``depth``
+    segments."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, MAX_SEGMENTS)
+    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, depth)
     prefixes = F.transform(segments, lambda s, k: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k + 1), "/")))
     return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.concat(domains, prefixes))
 
@@ -72,8 +76,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     rows = captures.select(
         F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{time_col}`").alias("_time")
     )
-    keys = rows.select("*", F.posexplode_outer(keys_of(F.col("_url"))).alias("_rank", "_key")).withColumn("_key", F.lower("_key"))
     valid = intervals(entries)
+    keys = rows.select("*", F.posexplode_outer(keys_of(F.col("_url"), depth_of(valid))).alias("_rank", "_key")).withColumn("_key", F.lower("_key"))
     active = (F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
     same = F.col("_key") == F.col("pattern")
     if valid.count() <= MAX_BROADCAST:

@@ -78,3 +78,13 @@ def test_empty_tables(spark):
     assert U.evaluate(none, entries).count() == 0
     one = spark.range(1).select(F.col("id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.lit("2024-01-01").cast("date").alias("fetched_at"))
     assert U.evaluate(one, entries).first().kept
+
+
+def test_patterns_match_at_any_depth(spark):
+    deep = "deep.com/" + "/".join(f"s{k}" for k in range(1, 13))
+    entries = [("deep.com/s1", "allow", D("2024-01-01")), (deep, "block", D("2024-01-01")), (deep.rpartition("/")[0], "allow", D("2024-01-01"))]
+    urls = [f"http://{deep}", f"http://{deep}/more?x", f"http://{deep.rpartition('/')[0]}/other", "http://deep.com/s1/s2", "http://deep.com/"]
+    captures = spark.createDataFrame([(k, u, D("2024-02-01")) for k, u in enumerate(urls)], "page_id long, url string, fetched_at date")
+    got = U.evaluate(captures, spark.createDataFrame(entries, "pattern string, action string, listed_at date")).collect()
+    assert {r.page_id: (r.pattern, r.action, r.kept) for r in got} == {k: brute(u, D("2024-02-01"), entries) for k, u in enumerate(urls)}
+    assert [r.kept for r in sorted(got)] == [False, False, True, True, True]
