@@ -83,6 +83,16 @@ def _release_at_exit() -> None:
             _SCRATCH.clear()
 
 
+def new_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until ``df`` has none."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for x in wanted:
+        while x in taken:
+            x = "_" + x
+        out.append(x)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -152,9 +162,3 @@ def shingles_of(text: bytes, n: int = 5) -> np.ndarray:
     if not len(h):
         return h
     return np.unique(rolling(h, min(n, len(h))))
-
-
-def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """A broadcast hint where the counted size is within the bound; beyond it
-    the planner is free to shuffle."""
-    return F.broadcast(df) if rows <= most else df

@@ -15,14 +15,35 @@ from .common import materialise
 MAX_ROUNDS = 60
 
 
+#: A node with more neighbours is hot, or with more than an even share of the
+#: edges among MAX_HOT nodes: there are at most MAX_HOT hot nodes, whatever the
+#: number of edges. A key and its least neighbour of each are broadcast.
+HOT_DEGREE = 10_000
+MAX_HOT = 100_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the least neighbour m of a. The edges of a hot node
+    are not brought into one task."""
+    total = least.agg(F.sum("degree")).first()[0] or 0
+    is_hot = F.col("degree") > max(HOT_DEGREE, total // MAX_HOT)
+    hot = least.where(is_hot).select("a", "m")
+    rest = least.where(~is_hot).select("a", "m")
+    if hot.isEmpty():
+        return edges.join(rest, "a")
+    there = edges.join(F.broadcast(hot), "a")
+    return there.unionByName(edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(rest, "a"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b), a != b. Large: every larger neighbour of
     a node is linked to the least node around; small: every smaller one."""
     both = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+    least = materialise(least.select("a", F.least("a", "m").alias("m"), "degree"), "least")
+    joined = _with_least(both, least)
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     edges, last = materialise(edges, "edges"), None
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        edges = materialise(_star(edges, True), "edges")
+        edges = materialise(_star(edges, False), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break

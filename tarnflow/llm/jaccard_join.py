@@ -4,9 +4,10 @@ Texts become sets of hashed five-word shingles; equal sets are one class. Each
 class is embedded by minhashing into a list of sampled tokens. A run descends a
 tree: a node samples two positions of that list, and classes that share the
 token at a position meet in the child for it. Small buckets are compared by
-brute force; larger ones are split again, on further positions, down to a fixed
-depth, where what is left is compared in blocks of bounded size. Several runs
-with other positions bring a pair's chance to meet near one:
+brute force; larger ones are split again, on further positions, as long as that
+leaves less to compare. A group of near copies does not get smaller that way: it
+stays one bucket, compared in blocks of bounded size. Several runs with other
+positions bring a pair's chance to meet near one:
 
     a pair of similarity s misses a level-1 bucket with (1 - s) ** (2 * RUNS)
     (2.6e-6 at 0.8), and through split buckets, of depth 3, one run with 0.06
@@ -14,8 +15,11 @@ with other positions bring a pair's chance to meet near one:
 
 Every pair is examined in one bucket only: the first, in the order of the tree,
 that both are in. Candidates by sketch are then verified on the shingles
-themselves. Buckets give back link counts and spanning edges, never pairs, so a
-group of near copies costs rows in proportion to its size.
+themselves. Buckets give back link counts and spanning edges, never pairs. A
+group of up to BLOCK near copies costs each of them one row a level-1 bucket; in
+a larger one a class is in as many rows as its bucket has blocks. That is no more
+than splitting would take: copies of similarity 0.63 to each other would need
+n ** 0.48 rows each (the exponent log 0.8 / log 0.63 of chosen paths).
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shingles_of, text_parts, trim, utf8
+from .common import materialise, mix64, new_names, shingles_of, text_parts, trim, utf8
 from .components import components
 
 SHINGLE = 5
@@ -37,8 +41,16 @@ SIMILARITY = 0.8
 POSITIONS = 128
 RUNS = 4
 DEPTH = 3
-#: A bucket of more classes is split, or compared in blocks of this size.
+#: A bucket of more classes is split if its children then have at most PAYS of
+#: its pairs; otherwise, and at the last level, it is compared in blocks of at
+#: most BLOCK classes and BLOCK_SHINGLES shingles (8 bytes each) on average. A
+#: bucket of up to BLOCK classes is one block: each of them is there once.
 BUCKET = 400
+PAYS = 0.5
+BLOCK = 2000
+BLOCK_SHINGLES = 2_000_000
+#: Large buckets (some 40 bytes each) that may be broadcast.
+MAX_LARGE = 500_000
 #: Sketch agreement (of 128) below which a pair of similarity 0.8 does not fall
 #: but once in 30,000: the mean less four deviations.
 MARGIN = 4.0
@@ -123,46 +135,90 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, slots: list[int]) -> DataFrame:
-    """(slot, node, key) of every class at the given slots."""
+    """(parent, slot, node, key, n) of every class at the given slots; parent is
+    0, or with a column ``parents`` (array of slot and node) the nodes are the
+    children of those only."""
+    inner = "parents" in classes.columns
+    below = {k: [c for c in slots if PARENTS[c] == k] for k in {PARENTS[c] for c in slots}}
+    names = ["parent", "slot", "node", "key", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = {s: k for k, s in enumerate(slots)}
         for b in batches:
             if not b.num_rows:
                 continue
-            s = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS)
+            s = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, POSITIONS)
             ids = node_ids(s, slots)
+            if inner:
+                wanted = [(k, x["node"], c) for k, xs in enumerate(b.column(3).to_pylist()) for x in xs for c in below[x["slot"]]]
+                row, parent, slot = (np.array(x, dtype=np.int64) for x in zip(*wanted))
+            else:
+                row, slot = np.repeat(np.arange(len(s)), len(slots)), np.tile(np.array(slots), len(s))
+                parent = np.zeros(len(row), dtype=np.int64)
+            node = ids[row, np.array([column[x] for x in slot.tolist()])]
+            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.array(slots, np.int32), len(s))),
-                    pa.array(ids.ravel()),
-                    b.column(0).take(pa.array(np.repeat(np.arange(len(s)), len(slots)))),
-                ],
-                ["slot", "node", "key"],
+                [pa.array(parent), pa.array(slot.astype(np.int32)), pa.array(node), b.column(0).take(at), b.column(1).take(at)], names
             )
 
-    return classes.select("key", "sketch").mapInArrow(run, "slot int, node long, key string")
+    columns = ["key", "n", "sketch", *["parents"] * inner]
+    return classes.select(*columns).mapInArrow(run, "parent long, slot int, node long, key string, n long")
+
+
+def _placed(members: DataFrame, sized: DataFrame) -> DataFrame:
+    """``members`` of the buckets in ``sized`` (node, size, shingles). Members of
+    large buckets do not meet in one task: these buckets are broadcast, or, where
+    they are too many, salted."""
+    large = materialise(sized.where(F.col("size") > BUCKET), "large")
+    found = large.count()
+    if found == 0:
+        return members.join(sized, "node")
+    if found <= MAX_LARGE:
+        there = members.join(F.broadcast(large), "node")
+        rest = members.join(F.broadcast(large.select("node")), "node", "left_anti")
+    else:
+        salts = 64
+        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed = members.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+        both = keyed.join(salted, ["node", "_salt"], "left").drop("_salt")
+        there, rest = both.where("size is not null"), both.where("size is null").drop("size", "shingles")
+    return there.unionByName(rest.join(sized.where(F.col("size") <= BUCKET), "node"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    return members.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(slot, node, key, size): the buckets to compare, of two classes or more.
-    Only classes of buckets that are too large go a level deeper, and only into
-    the children of the slots where these buckets are."""
-    leaves, level = None, [k for k, p in enumerate(PARENTS) if p < 0]
+    """(slot, node, key, size, shingles): the buckets to compare, of two classes
+    or more. Only classes of buckets that are split go a level deeper, and only
+    into the children of these buckets."""
+    level = [k for k, p in enumerate(PARENTS) if p < 0]
     members = _nodes(classes, level)
+    here = _sized(members).where("size > 1").drop("parent")
+    found = materialise(_placed(members.drop("parent", "n"), here), "level1")
+    leaves = None
     for depth in range(1, DEPTH + 1):
-        sized = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        found = materialise(members.join(sized, "node").select("slot", "node", "key", "size"), f"level{depth}")
-        small = found if depth == DEPTH else found.where(F.col("size") <= BUCKET)
-        leaves = small if leaves is None else leaves.unionByName(small)
-        large = found.where(F.col("size") > BUCKET).select(F.col("slot").alias("parent"), "key").distinct()
+        large = found.where(F.col("size") > BUCKET)
         if depth == DEPTH or large.isEmpty():
-            break
+            return found if leaves is None else leaves.unionByName(found)
         level = [k for k, p in enumerate(PARENTS) if p in set(level)]
-        below = F.create_map(*[F.lit(x) for p in sorted({PARENTS[k] for k in level}) for x in (p, [k for k in level if PARENTS[k] == p])])
-        children = large.select("key", F.explode(below[F.col("parent")]).alias("slot"))
-        wanted = children.groupBy("key").agg(F.collect_set("slot").alias("wanted"))
-        deep = classes.join(wanted, "key").select("key", "sketch")
-        members = _nodes(deep, level).join(children, ["key", "slot"]).select("slot", "node", "key")
+        parents = large.groupBy("key").agg(F.collect_list(F.struct("slot", "node")).alias("parents"))
+        members = materialise(_nodes(classes.join(parents, "key"), level), f"children{depth}")
+        sized = materialise(_sized(members), "sized")
+        pairs = lambda c: F.col(c) * (F.col(c) - 1)
+        left = sized.groupBy(F.col("parent").alias("node")).agg(F.sum(pairs("size")).alias("_left"))
+        whole = large.groupBy("node").agg(F.first("size").alias("_size"))
+        split = left.join(whole, "node").where(F.col("_left") <= PAYS * pairs("_size")).select("node")
+        split = materialise(split, "split")
+        few = split.count() <= MAX_LARGE
+        split = F.broadcast(split) if few else split
+        stay = found.join(split, "node", "left_anti").select(*found.columns)
+        leaves = stay if leaves is None else leaves.unionByName(stay)
+        inner = split.withColumnRenamed("node", "parent")
+        below = sized.where("size > 1").join(inner, "parent", "left_semi").drop("parent")
+        members = members.join(inner, "parent", "left_semi")
+        found = materialise(_placed(members.drop("parent", "n"), below).select(*found.columns), f"level{depth + 1}")
     return leaves
 
 
@@ -223,7 +279,7 @@ def _tasks(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     blocks of one that is too large; each class with its sketch and its leaves."""
     masks = leaves.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("mask"))
     full = classes.join(masks, "key")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
     placed = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "slot", "node", "key", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
@@ -414,13 +470,24 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns, with one document of each class: the one with the
-    least doc_id. Decisions are by doc_id: rows that share one stand or fall
-    together (they stay if one of them does), and rows without one stay."""
-    found = join(docs, similarity)
-    gone = (
-        found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays")).where("not stays").select("doc_id")
-    )
-    gone = materialise(gone, "dropped")
-    few = gone.count() <= 1_000_000  # 8 bytes a row and the hash table
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all columns as they are, with one row of each class: the one
+    with the least doc_id, nulls last; of rows that share it, any one. Rows
+    whose text has no words (null, empty) have no class and stay, repeated or
+    not. Long texts count whole, extra columns may have any names, an empty table
+    stays empty.
+    """
+    ids = docs.select("doc_id")
+    if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = join(docs, similarity)
+        gone = materialise(found.where("doc_id <> class_id").select("doc_id"), "dropped")
+        few = gone.count() <= 1_000_000  # 8 bytes a row and the hash table
+        return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Ids do not tell rows apart: each gets a number, which is stored with it.
+    (serial,) = new_names(docs, "serial")
+    numbered = materialise(docs.withColumn(serial, F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(F.col(serial).alias("_id"), F.struct(F.col("doc_id").isNull(), "doc_id", F.col(serial).alias("_id")).alias("_order"))
+    found = join(numbered.select(F.col(serial).alias("doc_id"), "text"), similarity)
+    found = found.select(F.col("doc_id").alias("_id"), "class_id").join(ids, "_id")
+    kept = found.groupBy("class_id").agg(F.min("_order")["_id"].alias(serial))
+    kept = materialise(kept, "kept")
+    return numbered.join(kept, serial, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,6 +20,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import new_names
+
 SHARDS = 40
 BLOCKS = 256
 #: A shard has this many cells; cells x blocks bounds the matrix.
@@ -84,15 +86,6 @@ def _content(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns])
 
 
-def _names(df: DataFrame, *wanted: str) -> list[str]:
-    taken, out = {c.lower() for c in df.columns}, []
-    for x in wanted:
-        while x in taken:
-            x = "_" + x
-        out.append(x)
-    return out
-
-
 def shard(
     rows: DataFrame, shards: int = SHARDS, seed: int = 1, blocks: int = BLOCKS, cells_per_shard: int = CELLS_PER_SHARD
 ) -> DataFrame:
@@ -105,7 +98,7 @@ def shard(
     new ones get underscores in front where theirs are taken) and any types.
     """
     spark = rows.sparkSession
-    block, key, rank, cell, shard_name, slot_name = _names(rows, "block", "key", "rank", "cell", "shard", "slot")
+    block, key, rank, cell, shard_name, slot_name = new_names(rows, "block", "key", "rank", "cell", "shard", "slot")
     content = _content(rows, seed)
     blocked = rows.withColumn(block, F.pmod(content, F.lit(blocks)).cast("int"))
     counts = {r[0]: r[1] for r in blocked.groupBy(block).count().collect()}  # one row a block

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tarnflow.llm import components as C
 from tarnflow.llm import jaccard_join as J
 from tarnflow.llm.common import read_table, shingles_of
 from tarnflow.llm.components import components
@@ -48,6 +49,18 @@ def got(df):
     return sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in df.collect()), key=str)
 
 
+def one_a_class(rows):
+    """(id, text) of the row with the least id of each class, of one of them
+    where several have it, and of all rows without words."""
+    found, kept = brute(rows), {}
+    for (i, t), (_, c, _, _) in zip(rows, found):
+        words = len(shingles_of((t or "").encode()))
+        key = ("class", c, None if c is not None else frozenset(shingles_of(t.encode()).tolist())) if words else ("row", len(kept))
+        if key not in kept or (i is not None and (kept[key][0] is None or i < kept[key][0])):
+            kept[key] = (i, t)
+    return [(str(i), t) for i, t in kept.values()]
+
+
 def family(rng, base, n, edits):
     words, out = base.split(), []
     for _ in range(n):
@@ -96,8 +109,10 @@ def test_odd_rows_and_empty_table(spark, odd, none):
     assert J.join(none).count() == 0 and J.deduplicate(none).count() == 0
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(J.join(with_clashes(odd))) == sorted(brute(rows), key=str)
-    kept = [r.doc_id for r in J.deduplicate(odd).collect()]
-    assert sorted(map(str, kept)) == sorted(map(str, [None, 1, 2, 3, 4, 4, None, 5, 6, 7]))
+    clashing = with_clashes(odd)
+    kept = J.deduplicate(clashing)
+    assert kept.columns == clashing.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted(one_a_class(rows))
 
 
 def test_ids_that_have_several_texts_or_none(spark):
@@ -106,6 +121,39 @@ def test_ids_that_have_several_texts_or_none(spark):
     assert got(J.join(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(brute(rows), key=str)
 
 
+def test_rows_follow_the_size_of_a_group(spark, monkeypatch):
+    """Twice the near copies: at most twice the rows of buckets and of blocks,
+    and no more than one row a level-1 bucket for each class."""
+    monkeypatch.setattr(J, "BUCKET", 100)
+    rng, made = random.Random(3), []
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+    copies = family(rng, base, 1600, 4)
+    for n in (400, 800, 1600):
+        docs = spark.createDataFrame(list(enumerate(copies[:n])), "doc_id long, text string")
+        classes = J.sets(docs).dropDuplicates(["key"]).cache()
+        leaves = J._buckets(classes).cache()
+        tasks = J._tasks(leaves, classes.select("key", "n", "sketch"))
+        made.append((classes.count(), leaves.count(), tasks.count()))
+    assert all(leaves <= 2 * J.RUNS * classes and tasks == leaves for classes, leaves, tasks in made)
+    assert all(b[k] <= 2.1 * a[k] for a, b in zip(made, made[1:]) for k in (1, 2))
+
+
+def test_a_passage_that_many_share_is_split(spark, monkeypatch):
+    """Documents that are alike in one passage only go down the tree; the result
+    is that of all pairs, in blocks of few classes too."""
+    monkeypatch.setattr(J, "BUCKET", 20)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage = text(40)
+    texts = [f"{passage} {text(100)}" for _ in range(150)] + family(rng, text(120), 90, 3)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = J.sets(docs).dropDuplicates(["key"])
+    assert {len(J.SLOTS[r.slot]) for r in J._buckets(classes).select("slot").distinct().collect()} > {1}
+    assert got(J.join(docs)) == sorted(brute(rows), key=str)
+
+
 def test_links_by_matrix_equal_links_by_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)]
@@ -130,7 +178,9 @@ def test_tree_fits_a_mask_and_meets_the_target():
     assert met >= 297
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(C, "HOT_DEGREE", hot)
     edges = [(f"n{k}", f"n{k + 1}") for k in range(40) if k % 10 != 9] + [("z", "n5"), ("q", "q"), (None, "n1")]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     want = {f"n{k}": min(f"n{j}" for j in range(k // 10 * 10, k // 10 * 10 + 10)) for k in range(40)} | {"z": "n0"}
