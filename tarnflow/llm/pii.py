@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import text_parts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 8000
@@ -219,6 +221,23 @@ def training_sample(size: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.
     return np.array(rows), np.array(labels), np.array(kinds)
 
 
+def _merged(spans: list[Span]) -> list[Span]:
+    """The stretches that spans cover, sorted and apart."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _free(taken: list[Span], a: int, b: int) -> bool:
+    """Whether no stretch (sorted, apart) overlaps the span: a bisection."""
+    k = bisect_left(taken, (b,))
+    return not k or taken[k - 1][1] <= a
+
+
 class Selector:
     """Boosted trees and a threshold for each kind."""
 
@@ -242,20 +261,21 @@ class Selector:
         likelier candidate, of any kind."""
         base = [base_spans(t) for t in texts]
         out = [[(k, a, b) for k, kind in enumerate(KINDS) for a, b in x[kind]] for x in base]
-        proposed = [(n, *c) for n, t in enumerate(texts) for c in candidates(t)]
-        proposed = [c for c in proposed if all(c[3] <= a or c[2] >= b for _, a, b in out[c[0]])]
+        taken = [_merged([(a, b) for _, a, b in x]) for x in out]
+        proposed = [(n, *c) for n, t in enumerate(texts) for c in candidates(t) if _free(taken[n], c[1], c[2])]
         if proposed:
             p = self.trees.probabilities(np.array([describe(texts[n], k, a, b) for n, k, a, b in proposed]))
             chosen = np.flatnonzero(p >= self.thresholds[[c[1] for c in proposed]])
             for i in sorted(chosen.tolist(), key=lambda i: (-p[i], proposed[i])):
                 n, k, a, b = proposed[i]
-                if all(b <= x or a >= y for _, x, y in out[n]):
+                if _free(taken[n], a, b):
+                    insort(taken[n], (a, b))
                     out[n].append((k, a, b))
         return list(zip(base, map(sorted, out)))
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def _texts(raw: list[bytes]) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in raw]
 
 
 def _written(spans) -> str:
@@ -274,18 +294,19 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shared.value.spans(_texts(b.column(1)))
-            base = [[(k, *s) for k, kind in enumerate(KINDS) for s in x[kind]] for x, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    *[pa.array([len(x[kind]) for x, _ in found], pa.int64()) for kind in KINDS],
-                    pa.array([hashlib.sha256(_written(x).encode()).hexdigest() for x in base], pa.string()),
-                    pa.array([_written(x) for _, x in found], pa.string()),
-                    pa.array([len(x) - len(y) for (_, x), y in zip(found, base)], pa.int64()),
-                ],
-                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
-            )
+            for lo, hi, texts in text_parts(b.column(1)):
+                found = shared.value.spans(_texts(texts))
+                base = [[(k, *s) for k, kind in enumerate(KINDS) for s in x[kind]] for x, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0)[lo:hi],
+                        *[pa.array([len(x[kind]) for x, _ in found], pa.int64()) for kind in KINDS],
+                        pa.array([hashlib.sha256(_written(x).encode()).hexdigest() for x in base], pa.string()),
+                        pa.array([_written(x) for _, x in found], pa.string()),
+                        pa.array([len(x) - len(y) for (_, x), y in zip(found, base)], pa.int64()),
+                    ],
+                    ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long"
@@ -314,13 +335,15 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = shared.value.spans(_texts(b.column(at)))
-            if any(x for _, x in found):
-                new = [cut(t, x) if x else t for t, (_, x) in zip(b.column(at).to_pylist(), found)]
-                columns = b.columns
-                columns[at] = pa.array(new, b.schema.field(at).type)
-                b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
-            yield b
+            for lo, hi, texts in text_parts(b.column(at)):
+                part, plain = b.slice(lo, hi - lo), _texts(texts)
+                found = shared.value.spans(plain)
+                if any(x for _, x in found):
+                    new = [None if none else cut(t, x) if x else t for none, t, (_, x) in zip(part.column(at).is_null().to_pylist(), plain, found)]
+                    columns = part.columns
+                    columns[at] = pa.array(new, b.schema.field(at).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=b.schema)
+                yield part
 
     out = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

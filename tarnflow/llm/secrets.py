@@ -2,9 +2,10 @@
 
 Credentials that the base patterns label in the corpus are a sample of what
 secrets look like. A probabilistic automaton is inferred from each kind's sample
-and one from ordinary tokens; every token that could be a credential is then
-scored by how much likelier it is under a kind's format than as ordinary text.
-Spans of the base patterns are always in.
+(kinds with few values share one) and one from each shape of ordinary tokens:
+letters, digits, both. Every token of credential length is then scored by how
+much likelier it is under a credential's format than as ordinary text. Spans of
+the base patterns are always in.
 """
 
 from __future__ import annotations
@@ -20,25 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton
-from .common import materialise
+from .common import materialise, text_parts
 
 KINDS = ("assign", "access", "hex")
-#: Labelled values of each kind, and ordinary tokens, that automata are inferred
-#: from: those with the least hashes, whatever the corpus size. Thresholds take
-#: all ordinary tokens.
+#: Labelled values of each kind, and ordinary tokens of each shape, that automata
+#: are inferred from: those with the least hashes, whatever the corpus size.
+#: Thresholds take all ordinary tokens.
 MAX_SAMPLE = 400
-#: Log-likelihood ratio a token needs over ordinary text, at least; and above
-#: this share of the ordinary tokens (not all: unlabelled secrets are among them).
+#: Kinds with fewer values are too sparse for a format of their own: theirs are
+#: pooled, and what the pool's automaton finds is reported as this kind.
+MIN_SAMPLE = 20
+POOL = "assign"
+#: Shapes of tokens (other characters beside them), and the share of the ordinary
+#: tokens of a shape that its threshold is above. Unlabelled credentials are
+#: among the tokens with letters and digits, so some of those lie beyond it.
+SHAPES = {"letters": 0.9999, "digits": 0.9999, "both": 0.95}
+#: Log-likelihood ratio a token needs over ordinary text, at least.
 MIN_RATIO = 6.0
-ORDINARY_SHARE = 0.95
 #: Ratios are counted in so many bins to a factor of e: 0.4 % wide.
 BINS = 256
 #: Distinct tokens that a task gathers before it hands them on.
 FLUSH = 100_000
-#: Different characters that a candidate has, at least.
-MIN_DISTINCT = 6
-#: A credential sample of fewer strings infers no format.
-MIN_SAMPLE = 20
+#: Judged tokens that a worker remembers, twice; ordinary words come again.
+REMEMBERED = 200_000
 #: Characters of all values that one automaton is inferred from. Values are whole
 #: or not among them; tokens are scored whole, whatever their length.
 MAX_SYMBOLS = 200_000
@@ -48,18 +53,28 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+_LETTER = re.compile(r"[A-Za-z]")
+#: Candidates: as long as the shortest value a base pattern takes, or longer.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: What stands between the separators of paths and queries.
-_PART = re.compile(r"[A-Za-z0-9+_-]{12,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{6,}")
 #: Classes of characters after the fourth: digits, a-f, other small letters,
-#: capitals; other characters, and the first four, stand for themselves.
+#: capitals; other characters, and the first four, stand for themselves. One that
+#: is also among the two before it is marked: random strings rarely repeat.
 _CLASS = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A")}
-_SYMBOLS = 75
+_AGAIN = {c: f"{c}~" for c in (*_CLASS.values(), *"+/_.=-")}
+_SYMBOLS = 80
 
 
 def symbols(token: str) -> tuple:
     head = tuple(c if _CLASS.get(c) == "A" else _CLASS.get(c, c) for c in token[:4])
-    return head + tuple(_CLASS.get(c, c) for c in token[4:])
+    if len(token) <= 4:
+        return head
+    tail = [_CLASS.get(c, c) for c in token[4:]]
+    for k, (x, y, z) in enumerate(zip(token[2:], token[3:], token[4:])):
+        if z == y or z == x:
+            tail[k] = _AGAIN.get(tail[k], tail[k])
+    return head + tuple(tail)
 
 
 def base_spans(t: str) -> list[tuple[int, int, int]]:
@@ -77,38 +92,60 @@ def _value(t: str, span: tuple[int, int, int]) -> str:
     return _ASSIGN.match(t, a)[2] if k == 0 else t[a:b]
 
 
-def _mixed(s: str) -> bool:
-    return not s.isalpha() and _DIGIT.search(s) is not None and len(set(s)) >= MIN_DISTINCT
+def shape(token: str) -> str:
+    if not _DIGIT.search(token):
+        return "letters"
+    return "both" if _LETTER.search(token) else "digits"
 
 
 def _strings(token: str) -> list[Span]:
     """What is scored of a token: the whole of it, and its parts."""
     whole = (0, len(token))
-    return [whole, *(m.span() for m in _PART.finditer(token) if m.span() != whole and _mixed(m[0]))]
+    if "/" not in token and "=" not in token:
+        return [whole]
+    return [whole, *(m.span() for m in _PART.finditer(token) if m.span() != whole)]
 
 
 def _ordinary(t: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
-    """Tokens outside base spans that have a digit and no few characters."""
+    """Tokens outside base spans (sorted by start), in one sweep."""
+    end, k = 0, 0
     for m in _TOKEN.finditer(t):
-        if _mixed(m[0]) and all(m.end() <= a or m.start() >= b for a, _, b in taken):
+        while k < len(taken) and taken[k][0] < m.end():
+            end = max(end, taken[k][2])
+            k += 1
+        if end <= m.start():
             yield m
 
 
 class Scanner:
-    """Automata of the kinds and of ordinary tokens, with thresholds."""
+    """Automata of the credentials and of ordinary tokens, with thresholds for
+    each format and shape."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.background = Automaton([symbols(s) for s in ordinary] + [symbols(w) for w in _FILLERS], _SYMBOLS)
-        self.formats = {k: Automaton([symbols(s) for s in labelled[k]], _SYMBOLS) for k in KINDS if len(labelled.get(k, ())) >= MIN_SAMPLE}
+        by_shape = {x: [] for x in SHAPES}
+        for token in (*ordinary, *_FILLERS):
+            by_shape[shape(token)].append(symbols(token))
+        self.backgrounds = [Automaton(x, _SYMBOLS) for x in by_shape.values() if x]
+        self.formats, pool = {}, []
+        for k in KINDS:
+            values = labelled.get(k, [])
+            if len(values) >= MIN_SAMPLE:
+                self.formats[k] = Automaton([symbols(v) for v in values], _SYMBOLS)
+            else:
+                pool += values
+        if pool:
+            self.formats["pool"] = Automaton([symbols(v) for v in pool], _SYMBOLS)
+        self._young, self._old = {}, {}
         self.settle(self.histogram(ordinary))
 
     def histogram(self, tokens: Iterable[str]) -> Counter:
-        """How many of the tokens fall in each (kind, bin of their ratio); all
-        ratios up to 1 are in bin 0."""
+        """How many of the tokens fall in each (format, shape, bin of their
+        ratio); all ratios up to 1 are in bin 0."""
         out: Counter = Counter()
         for t in tokens:
+            of = shape(t)
             for k, (r, _) in self._best(t).items():
-                out[k, math.ceil(BINS * math.log(max(r, 1.0)))] += 1
+                out[k, of, math.ceil(BINS * math.log(max(r, 1.0)))] += 1
         return out
 
     def settle(self, ordinary: Counter) -> None:
@@ -116,20 +153,29 @@ class Scanner:
         counts = ordinary + self.histogram(_FILLERS)
         self.threshold = {}
         for kind in self.formats:
-            bins = sorted((b, n) for (k, b), n in counts.items() if k == kind)
-            above = int(ORDINARY_SHARE * sum(n for _, n in bins))
-            for b, n in bins:
-                above -= n
-                if above < 0:
-                    self.threshold[kind] = max(MIN_RATIO, math.exp(b / BINS) + 1.0)
-                    break
+            for of, share in SHAPES.items():
+                bins = sorted((b, n) for (k, x, b), n in counts.items() if (k, x) == (kind, of))
+                above = int(share * sum(n for _, n in bins))
+                for b, n in bins:
+                    above -= n
+                    if above < 0:
+                        self.threshold[kind, of] = max(MIN_RATIO, math.exp(b / BINS) + 1.0)
+                        break
+                else:
+                    self.threshold[kind, of] = MIN_RATIO
+        self._young, self._old = {}, {}
+
+    def ratio(self, kind: str, string: str) -> float:
+        """Log likelihood of a string in a format over that as ordinary text."""
+        s = symbols(string)
+        return self.formats[kind].log_likelihood(s) - max(x.log_likelihood(s) for x in self.backgrounds)
 
     def _best(self, token: str) -> dict[str, tuple[float, Span]]:
-        """For each kind the largest ratio of the token and its parts, and whose."""
+        """For each format the largest ratio of the token and its parts, and whose."""
         out: dict[str, tuple[float, Span]] = {}
         for a, b in _strings(token):
             string = symbols(token[a:b])
-            base = self.background.log_likelihood(string)
+            base = max(x.log_likelihood(string) for x in self.backgrounds)
             for k, f in self.formats.items():
                 r = f.log_likelihood(string) - base
                 if k not in out or r > out[k][0]:
@@ -138,9 +184,23 @@ class Scanner:
 
     def find(self, token: str) -> tuple[str, Span] | None:
         """The likeliest kind whose threshold the token, or a part of it, passes,
-        and where."""
-        found = [(r, k, span) for k, (r, span) in self._best(token).items() if r > self.threshold[k]]
-        return max(found)[1:] if found else None
+        and where. Verdicts are remembered; forgetting one changes nothing."""
+        if token in self._young:
+            return self._young[token]
+        out = self._old[token] if token in self._old else self._judged(token)
+        if len(self._young) >= REMEMBERED:
+            self._old, self._young = self._young, {}
+        if len(token) <= 100:
+            self._young[token] = out
+        return out
+
+    def _judged(self, token: str) -> tuple[str, Span] | None:
+        of = shape(token)
+        found = [(r, k, span) for k, (r, span) in self._best(token).items() if r > self.threshold[k, of]]
+        if not found:
+            return None
+        _, k, span = max(found)
+        return POOL if k == "pool" else k, span
 
     def judge(self, token: str) -> str | None:
         found = self.find(token)
@@ -148,6 +208,8 @@ class Scanner:
 
     def spans(self, t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = base_spans(t)
+        if not self.formats:
+            return base, base
         found = [(m.start(), x) for m in _ordinary(t, base) if (x := self.find(m[0]))]
         more = [(at + a, KINDS.index(k), at + b) for at, (k, (a, b)) in found]
         return base, sorted(base + more)
@@ -159,7 +221,7 @@ _FILLERS = tuple(
     x
     for k in range(1, 40)
     for x in (f"well-known-word-{k}", f"snake_case_name_{k}", f"SomeCamelCase{k}", f"path/to/file{k}", f"2024-01-{k:02d}T10-{k:02d}", "=" * (11 + k), "-" * (11 + k), "_" * (11 + k), f"UPPER_CASE_{k:03d}", f"{k:013d}", f"{k * 7919:05d}-{k * 104729:07d}")
-)
+) + tuple((pad * 40)[: 5 + k] for k in range(1, 40) for pad in ("a", "x", "X", "0", "ab", "xy", "01", "a1", "x0"))
 
 
 def _fitting(values: list[str]) -> list[str]:
@@ -189,17 +251,18 @@ def train(docs: DataFrame, most: int = MAX_SAMPLE) -> Scanner:
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(hashes, pa.binary()), pa.array(values, pa.string())], ["kind", "h", "value"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                base = base_spans(t or "")
-                held.update((KINDS[s[1]], _value(t, s)) for s in base)
-                held.update(("", m[0]) for m in _ordinary(t or "", base))
-                if len(held) > FLUSH:
-                    yield out()
+            for _, _, texts in text_parts(b.column(0)):
+                for t in map(_text, texts):
+                    base = base_spans(t)
+                    held.update((KINDS[s[1]], _value(t, s)) for s in base)
+                    held.update((f"-{shape(m[0])}", m[0]) for m in _ordinary(t, base))
+                    if len(held) > FLUSH:
+                        yield out()
         yield out()
 
     found = materialise(docs.select("text").mapInArrow(run, "kind string, h binary, value string").distinct(), "values")
-    known = found.where("kind <> ''").select("value").distinct()
-    ordinary = materialise(found.where("kind = ''").join(known, "value", "left_anti"), "ordinary")
+    known = found.where("kind not like '-%'").select("value").distinct()
+    ordinary = materialise(found.where("kind like '-%'").join(known, "value", "left_anti"), "ordinary")
 
     def sample(values: DataFrame) -> list[str]:
         return _fitting([r.value for r in values.where(F.length("value") <= MAX_SYMBOLS).orderBy("h", "value").limit(most).collect()])
@@ -207,23 +270,29 @@ def train(docs: DataFrame, most: int = MAX_SAMPLE) -> Scanner:
     rows = {k: sample(found.where(F.col("kind") == k)) for k in KINDS}
     # Values that an assignment shares with another kind tell that kind's form.
     rows["assign"] = [v for v in rows["assign"] if not (_ACCESS.fullmatch(v) or _HEX.fullmatch(v))]
-    scanner = Scanner(rows, sample(ordinary))
+    scanner = Scanner(rows, [v for x in SHAPES for v in sample(ordinary.where(F.col("kind") == f"-{x}"))])
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = shared.value.histogram(b.column(0).to_pylist())
+            k, of, x = zip(*n) if n else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in n], pa.string()), pa.array([x for _, x in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["kind", "bin", "n"]
+                [pa.array(k, pa.string()), pa.array(of, pa.string()), pa.array(x, pa.int64()), pa.array(list(n.values()), pa.int64())], ["kind", "shape", "bin", "n"]
             )
 
-    # A few thousand bins a kind.
-    weighed = ordinary.select("value").mapInArrow(weigh, "kind string, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
-    scanner.settle(Counter({(r.kind, r.bin): r.n for r in weighed.collect()}))
+    # A few thousand bins a kind and shape.
+    weighed = ordinary.select("value").mapInArrow(weigh, "kind string, shape string, bin long, n long")
+    weighed = weighed.groupBy("kind", "shape", "bin").agg(F.sum("n").alias("n"))
+    scanner.settle(Counter({(r.kind, r.shape, r.bin): r.n for r in weighed.collect()}))
     shared.unpersist()
     return scanner
 
 
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
 def _written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -233,24 +302,26 @@ def report(docs: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
     spans and n_added (spans besides the base ones).
 
     Null and empty texts have no spans. Spans are in code points, end exclusive.
-    A kind with few labelled values in the whole table has its base spans only.
-    Repeated rows are reported each; other columns are not read.
+    Texts are searched whole, in a time that grows with their length. Repeated
+    rows are reported each; other columns are not read. A table without any
+    labelled value has its base spans only; an empty one gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.spans(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    *[pa.array([sum(s[1] == k for s in x) for x, _ in found], pa.int64()) for k in range(len(KINDS))],
-                    pa.array([hashlib.sha256(_written(x).encode()).hexdigest() for x, _ in found], pa.string()),
-                    pa.array([_written(x) for _, x in found], pa.string()),
-                    pa.array([len(y) - len(x) for x, y in found], pa.int64()),
-                ],
-                ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
-            )
+            for lo, hi, texts in text_parts(b.column(1)):
+                found = [shared.value.spans(_text(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0)[lo:hi],
+                        *[pa.array([sum(s[1] == k for s in x) for x, _ in found], pa.int64()) for k in range(len(KINDS))],
+                        pa.array([hashlib.sha256(_written(x).encode()).hexdigest() for x, _ in found], pa.string()),
+                        pa.array([_written(x) for _, x in found], pa.string()),
+                        pa.array([len(y) - len(x) for x, y in found], pa.int64()),
+                    ],
+                    ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long"

@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from tarnflow.llm import boosting, pii
+from tarnflow.llm.common import read_table
 
 from .conftest import with_clashes
 
@@ -109,3 +111,40 @@ def test_bracketed_addresses_are_found(selector):
     for t in ("write to jane.roe (at) example.com today", "contact jane.roe [at] example.com today", "mail jane.roe\n[at] example\n[dot] com"):
         ((_, spans),) = selector.spans([t])
         assert [pii.KINDS[k] for k, _, _ in spans] == ["email"], t
+
+
+def test_a_text_of_many_spans_takes_time_in_proportion(selector):
+    took = []
+    for n in (8000, 16000):
+        t = " ".join(f"a{k}@b.org +1 (212) 555-{k % 10000:04d} or jane{k} [at] c [dot] net" for k in range(n))
+        start = time.process_time()
+        ((base, spans),) = selector.spans([t])
+        took.append(time.process_time() - start)
+        assert len(base["email"]) == n and len(spans) > 2 * n
+    assert took[1] < 3 * took[0]
+
+
+def slow_spans(selector, t):
+    """All spans of a text by the stated rule: base ones, then the likeliest
+    candidate above its threshold that overlaps nothing chosen before."""
+    out = [(k, a, b) for k, kind in enumerate(pii.KINDS) for a, b in brute(t)[kind]]
+    own = [c for c in pii.candidates(t) if not any(c[1] < b and c[2] > a for _, a, b in out)]
+    scored = []
+    for c in own:
+        p = selector.trees.probabilities(np.array([pii.describe(t, *c)]))[0]
+        if p >= selector.thresholds[c[0]]:
+            scored.append((-p, c))
+    for _, c in sorted(scored):
+        if not any(c[1] < b and c[2] > a for _, a, b in out):
+            out.append(c)
+    return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(out))
+
+
+def test_whole_report_against_brute_force(spark, selector, sf_dir):
+    rng = random.Random(3)
+    seeds = ["4111 1111 1111 1111", "a.b@c.d", "1.2.3.4", "+1 (23) 45-678", "jane [at] x [dot] org", "(212) 555-0187", "card 4111-1111-1111-1111", "256.1.1.1", "10.[.]1", "é", "call 0301 234 5678", "2024-01-02"]
+    rows = [(k, " ".join(rng.choice(seeds) if rng.random() < 0.4 else rng.choice(["word", "mail", "ip", "of", "to"]) for _ in range(40))) for k in range(120)]
+    rows += [(500, None), (500, ""), (None, "mail a.b@c.d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    want = sorted(((r.doc_id, slow_spans(selector, r.text or "")) for r in docs.collect()), key=str)
+    assert sorted(((r.doc_id, r.spans) for r in pii.report(with_clashes(docs)).collect()), key=str) == want
