@@ -43,13 +43,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a scratch table that are worth a file of their own.
+FILE_ROWS = 200_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once, keeps the
-    columns compressed and survives the loss of any executor.
+    columns compressed and survives the loss of any executor. ``rows``: about so
+    many at most; a small table is then not scattered over hundreds of files.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{scratch_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append(path)
@@ -93,6 +100,13 @@ def new_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame | None:
+    """``df`` as a local table of the driver, to be broadcast, if it has at most
+    ``most`` rows; otherwise None."""
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else None
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

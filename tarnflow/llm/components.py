@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 
 MAX_ROUNDS = 60
 
@@ -22,28 +22,28 @@ HOT_DEGREE = 10_000
 MAX_HOT = 100_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` (a, b) with the least neighbour m of a. The edges of a hot node
-    are not brought into one task."""
-    total = least.agg(F.sum("degree")).first()[0] or 0
-    is_hot = F.col("degree") > max(HOT_DEGREE, total // MAX_HOT)
-    hot = least.where(is_hot).select("a", "m")
-    rest = least.where(~is_hot).select("a", "m")
-    if hot.isEmpty():
-        return edges.join(rest, "a")
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (a, b), ``total`` in number, with the least neighbour m of a.
+    The edges of a hot node are not brought into one task."""
+    most = max(HOT_DEGREE, total // MAX_HOT)
+    hot = bounded(least.where(F.col("degree") > most).select("a", "m"), MAX_HOT) if total > most else None
+    if hot is None:
+        return edges.join(least.drop("degree"), "a")
     there = edges.join(F.broadcast(hot), "a")
-    return there.unionByName(edges.join(F.broadcast(hot.select("a")), "a", "left_anti").join(rest, "a"))
+    rest = edges.join(F.broadcast(hot.select("a")), "a", "left_anti")
+    return there.unionByName(rest.join(least.where(F.col("degree") <= most).drop("degree"), "a"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (a, b), a != b. Large: every larger neighbour of
-    a node is linked to the least node around; small: every smaller one."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over ``total`` edges (a, b), a != b. Large: every larger
+    neighbour of a node is linked to the least node around; small: every smaller
+    one."""
     both = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
-    least = materialise(least.select("a", F.least("a", "m").alias("m"), "degree"), "least")
-    joined = _with_least(both, least)
+    least = least.select("a", F.least("a", "m").alias("m"), "degree")
+    joined = _with_least(both, least, 2 * total)
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -55,11 +55,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b, any order):
     root is the least node connected with it, itself included. Loops (a = b) and
     nulls are ignored; nodes without an edge do not appear."""
-    edges = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    edges, last = materialise(edges, "edges"), None
+    edges = materialise(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges", edges.count())
+    total, last = edges.count(), None
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_star(edges, True), "edges")
-        edges = materialise(_star(edges, False), "edges")
+        stars = _star(edges, True, total)
+        if total > HOT_DEGREE:
+            stars = materialise(stars, "edges", 2 * total)
+        edges = materialise(_star(stars, False, total), "edges", 2 * total)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, new_names, shingles_of, text_parts, trim, utf8
+from .common import bounded, materialise, mix64, new_names, shingles_of, text_parts, trim, utf8
 from .components import components
 
 SHINGLE = 5
@@ -169,16 +169,13 @@ def _placed(members: DataFrame, sized: DataFrame) -> DataFrame:
     """``members`` of the buckets in ``sized`` (node, size, shingles). Members of
     large buckets do not meet in one task: these buckets are broadcast, or, where
     they are too many, salted."""
-    large = materialise(sized.where(F.col("size") > BUCKET), "large")
-    found = large.count()
-    if found == 0:
-        return members.join(sized, "node")
-    if found <= MAX_LARGE:
+    large = bounded(sized.where(F.col("size") > BUCKET), MAX_LARGE)
+    if large is not None:
         there = members.join(F.broadcast(large), "node")
         rest = members.join(F.broadcast(large.select("node")), "node", "left_anti")
     else:
         salts = 64
-        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = sized.where(F.col("size") > BUCKET).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keyed = members.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
         both = keyed.join(salted, ["node", "_salt"], "left").drop("_salt")
         there, rest = both.where("size is not null"), both.where("size is null").drop("size", "shingles")
@@ -192,11 +189,12 @@ def _sized(members: DataFrame) -> DataFrame:
 def _buckets(classes: DataFrame) -> DataFrame:
     """(slot, node, key, size, shingles): the buckets to compare, of two classes
     or more. Only classes of buckets that are split go a level deeper, and only
-    into the children of these buckets."""
+    into the children of these buckets. ``classes`` is a stored table."""
+    rows = 2 * RUNS * classes.count()
     level = [k for k, p in enumerate(PARENTS) if p < 0]
     members = _nodes(classes, level)
     here = _sized(members).where("size > 1").drop("parent")
-    found = materialise(_placed(members.drop("parent", "n"), here), "level1")
+    found = materialise(_placed(members.drop("parent", "n"), here), "level1", rows)
     leaves = None
     for depth in range(1, DEPTH + 1):
         large = found.where(F.col("size") > BUCKET)
@@ -204,21 +202,20 @@ def _buckets(classes: DataFrame) -> DataFrame:
             return found if leaves is None else leaves.unionByName(found)
         level = [k for k, p in enumerate(PARENTS) if p in set(level)]
         parents = large.groupBy("key").agg(F.collect_list(F.struct("slot", "node")).alias("parents"))
-        members = materialise(_nodes(classes.join(parents, "key"), level), f"children{depth}")
-        sized = materialise(_sized(members), "sized")
+        members = _nodes(classes.join(parents, "key"), level)
+        sized = _sized(members)
         pairs = lambda c: F.col(c) * (F.col(c) - 1)
         left = sized.groupBy(F.col("parent").alias("node")).agg(F.sum(pairs("size")).alias("_left"))
         whole = large.groupBy("node").agg(F.first("size").alias("_size"))
         split = left.join(whole, "node").where(F.col("_left") <= PAYS * pairs("_size")).select("node")
-        split = materialise(split, "split")
-        few = split.count() <= MAX_LARGE
-        split = F.broadcast(split) if few else split
+        few = bounded(split, MAX_LARGE)
+        split = materialise(split, "split") if few is None else F.broadcast(few)
         stay = found.join(split, "node", "left_anti").select(*found.columns)
         leaves = stay if leaves is None else leaves.unionByName(stay)
         inner = split.withColumnRenamed("node", "parent")
         below = sized.where("size > 1").join(inner, "parent", "left_semi").drop("parent")
         members = members.join(inner, "parent", "left_semi")
-        found = materialise(_placed(members.drop("parent", "n"), below).select(*found.columns), f"level{depth + 1}")
+        found = materialise(_placed(members.drop("parent", "n"), below).select(*found.columns), f"level{depth + 1}", rows)
     return leaves
 
 
@@ -244,8 +241,8 @@ def _candidates(sk: np.ndarray, n: np.ndarray, mask: np.ndarray, block: np.ndarr
             keep &= block[j] != block[i]
         j = j[keep]
         j = j[(sk[j] == sk[i]).sum(axis=1) >= need]
-        left.append(np.full(len(j), i))
-        right.append(j)
+        left.append(np.full(len(j), i, dtype=np.int32))
+        right.append(j.astype(np.int32))
     i, j = np.concatenate(left), np.concatenate(right)
     new = np.ones(len(i), dtype=bool)
     for lo in range(0, len(i), 20_000):
@@ -400,16 +397,17 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     """Two tables. ``members``: doc_id, key of every row. ``classes``: key,
     first (least doc_id), n_docs, group (root key), links and linked_docs."""
     docs = docs.select("doc_id", "text")
-    found = materialise(sets(docs), "sets")
+    rows = docs.count()
+    found = materialise(sets(docs), "sets", 4 * rows)  # a quarter as many a file
     members = found.select("doc_id", "key")
     classes = found.where("key is not null").groupBy("key").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs")
     )
-    classes = materialise(classes, "classes")
-    leaves = materialise(_buckets(classes), "leaves")
-    tasks = materialise(_with_candidates(_tasks(leaves, classes.select("key", "n", "sketch")), similarity), "candidates")
+    classes = materialise(classes, "classes", rows)
+    tasks = _tasks(_buckets(classes), classes.select("key", "n", "sketch"))
+    tasks = materialise(_with_candidates(tasks, similarity), "candidates", 2 * RUNS * rows)
     wanted = tasks.select("key").distinct().join(classes.select("key", "n_docs", F.col("first").alias("doc_id")), "key")
-    wanted = materialise(wanted, "wanted")
+    wanted = materialise(wanted, "wanted", rows)
     # A null doc_id names no row to fetch; such classes are fetched by key.
     by_key = wanted.where("doc_id is null").select("key")
     near = wanted.where("doc_id is not null").select("doc_id", "key")
@@ -419,7 +417,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
         text = text.unionByName(_shingles_by_key(docs.where("doc_id is null"), by_key))
     text = text.dropDuplicates(["key"])
     full = tasks.join(text, "key").join(wanted.select("key", "n_docs"), "key")
-    links = materialise(_verified(full, similarity), "links")
+    links = materialise(_verified(full, similarity), "links", 2 * RUNS * rows)
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
     out = (
@@ -479,7 +477,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids = docs.select("doc_id")
     if ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty():
         found = join(docs, similarity)
-        gone = materialise(found.where("doc_id <> class_id").select("doc_id"), "dropped")
+        gone = materialise(found.where("doc_id <> class_id").select("doc_id"), "dropped", docs.count())
         few = gone.count() <= 1_000_000  # 8 bytes a row and the hash table
         return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # Ids do not tell rows apart: each gets a number, which is stored with it.
