@@ -150,13 +150,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (with a column length) and, for each row, sequence_id and
-    offset. ``parts`` is read three times and must be a stored table."""
+    offset. ``parts`` is read three times and must be a stored table; a column
+    _spread in it, if any, parts rows that are equal otherwise, and is dropped."""
     spark = parts.sparkSession
     total = parts.count()
     salts = max(16, min(4096, total // GROUP_ROWS))
-    salted = parts.withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    )
+    own = [c for c in parts.columns if c != "_spread"]
+    order = ["doc_id", "piece", "ids_crc32", *["_spread"] * (len(own) < len(parts.columns))]
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     groups = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     slots, _ = best_two_fit(histogram, capacity)
@@ -165,7 +166,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = groups.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = salted.withColumn(
         "_rank",
-        F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")),
+        F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)),
     )
     ranked = ranked.join(F.broadcast(groups) if salts <= 64 else groups, ["length", "_salt"]).withColumn(
         "_rank", F.col("_before") + F.col("_rank") - 1
@@ -178,7 +179,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     inside = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
     at = F.col("_rank") - F.col("_lo")
     return ranked.join(F.broadcast(plan), inside).select(
-        *parts.columns,
+        *own,
         (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"),
     )
@@ -187,7 +188,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (see ``pieces``) with their sequence_id and offset.
     An empty table packs into none."""
-    return place(materialise(pieces(docs, capacity, tokenizer, with_ids), "pieces"), capacity)
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int")
+    return place(materialise(pieces(docs, capacity, tokenizer, with_ids).withColumn("_spread", spread), "pieces", 8 * docs.count()), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

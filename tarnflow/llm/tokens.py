@@ -10,7 +10,7 @@ first time run through the merges.
 from __future__ import annotations
 
 import re
-import unicodedata
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -19,8 +19,13 @@ TOKENIZER = "word_bpe_49k.json"
 #: The tokenizer's own split pattern, and its special strings.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-_LATIN = regex.compile(SPLIT)
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+| ", re.ASCII)
+_LATIN = regex.compile(SPLIT + "| ")
+#: Texts of the other characters are in normal form, and lower case keeps their
+#: length: they can be split here as the tokenizer would.
+_OTHER = re.compile("[^\x00-\u024f]|\u0130")
+#: Ends a chunk among ids, which are all below 2 ** 16.
+_STOP = b"\xff\xff\xff\xff"
 
 
 class _Cache:
@@ -34,15 +39,15 @@ class _Cache:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` in neither generation; the others are now young."""
+    def missing(self, keys) -> list:
+        """Distinct values of ``keys`` in neither generation; those in the old
+        one are now young."""
         out, young, old = [], self.young, self.old
-        for k in keys:
-            if k not in young:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    young[k] = v
+        for k in set(filterfalse(young.__contains__, keys)):
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                young[k] = v
         return out
 
 
@@ -56,22 +61,13 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        if len(self.ends) > 1 << 16:
+            raise ValueError("the tokenizer has ids of more than 16 bits")
         self.chunks, self.pieces = _Cache(chunks), _Cache(pieces)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _split(self, chunk: bytes) -> list[str] | None:
-        """The chunk's pieces, or None where only the tokenizer itself knows."""
-        if b"<|" in chunk and any(x in chunk for x in SPECIAL):
-            return None
-        if chunk.isascii():
-            return _ASCII.findall(chunk.decode().lower())
-        text = chunk.decode("utf-8", "replace")
-        low = text.lower()
-        if max(text) < "ɐ" and len(low) == len(text) and unicodedata.is_normalized("NFC", text):
-            return _LATIN.findall(low)
-        return None
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         young = self.pieces.young
@@ -89,20 +85,32 @@ class Encoder:
                     young[p] = self._ids(p).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        self.pieces.age()
-        split = {c: self._split(c) for c in chunks}
-        self._learn_pieces(self.pieces.missing({p for x in split.values() if x for p in x}))
-        young, known = self.chunks.young, self.pieces.young
-        for c, pieces in split.items():
-            if pieces is None:
+        """Ids of new chunks: all their pieces at once, with a stop after each."""
+        ascii_, latin, young = [], [], self.chunks.young
+        for c in chunks:
+            if b"<|" in c and any(x in c for x in SPECIAL):
+                young[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
+            elif c.isascii():
+                ascii_.append(c)
+            elif _OTHER.search(c.decode("utf-8", "replace")):
                 young[c] = self._ids(c.decode("utf-8", "replace")).tobytes()
             else:
-                young[c] = b"".join([known[p] for p in pieces])
+                latin.append(c)
+        for part, pattern in ((ascii_, _ASCII), (latin, _LATIN)):
+            for lo in range(0, len(part), 20_000):
+                some = part[lo : lo + 20_000]
+                flat = pattern.findall(b" ".join(some).decode().lower())
+                self.pieces.age()
+                self.pieces.young[" "] = _STOP
+                if new := self.pieces.missing(flat):
+                    self._learn_pieces(new)
+                ids = b"".join(map(self.pieces.young.__getitem__, flat))
+                young.update(zip(some, ids.split(_STOP), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         self.chunks.age()
         split = [t.split() for t in texts]
-        if new := self.chunks.missing({c for x in split for c in x}):
+        if new := self.chunks.missing(chain.from_iterable(split)):
             self._learn(new)
         get = self.chunks.young.__getitem__
         return [b"".join(map(get, x)) for x in split]
