@@ -48,12 +48,47 @@ def test_odd_rows_keep_their_columns(spark, odd):
     gapless(rows, 3)
 
 
-def test_a_third_of_rows_alike(spark):
+@pytest.mark.parametrize("hot", [10_000, 50])
+def test_a_third_of_rows_alike(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
     df = spark.range(900).select(F.when(F.col("id") < 300, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     gapless(S.shard(df, 7).collect(), 7)
     gapless(S.shard(df.select("k"), 7).collect(), 7)
 
 
+def test_equal_rows_spread_over_blocks_whatever_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", 50)
+    df = spark.range(1200).select(F.when(F.col("id") < 900, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    some = df.withColumn("n", F.monotonically_increasing_id())
+    keys = S._keyed(some, "key", "n", 1, 1200).where("k = 7")
+    assert keys.select("key").distinct().count() == 900
+    assert keys.groupBy(F.pmod("key", F.lit(16))).count().agg(F.max("count")).first()[0] < 100
+    shards = lambda d: sorted((r.k, r.shard, r.slot) for r in S.shard(d, 5).collect())
+    assert shards(df) == shards(df.repartition(5))
+
+
+def test_parts_follow_the_rows_within_a_bound():
+    assert S.parts_of(0) == (256, 8) and S.parts_of(10**9) == (500, 12)
+    blocks, cells = S.parts_of(10**13)
+    assert blocks <= S.MAX_PARTS and cells * S.SHARDS <= S.MAX_PARTS
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_shuffle_is_uniform(spark, seed):
+    """Where a row comes from says nothing about where it goes: chi-square of a
+    table of 8 x 8 places, 49 degrees of freedom; and of every pair of rows next
+    to each other before, half are in order after."""
+    n = 4000
+    rows = S.shard(spark.range(n), 4, seed).collect()
+    place = {r.id: r.shard * (n // 4) + r.slot for r in rows}
+    seen = Counter((i * 8 // n, p * 8 // n) for i, p in place.items())
+    expected = n / 64
+    assert sum((seen[a, b] - expected) ** 2 / expected for a in range(8) for b in range(8)) < 95
+    assert sum(place[k] < place[k + 1] for k in range(n - 1)) / (n - 1) == pytest.approx(0.5, abs=0.04)
+    fixed = sum(place[k] == k for k in range(n))
+    assert fixed < 10  # one on average
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = S.digest(read_table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
