@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MIX, forget, hash_words, materialise, mix64, text_parts, trim
@@ -38,11 +38,12 @@ MAX_FREQUENT = 1 << 20
 #: A slice has about this many training tokens, whatever their number.
 SLICE_TOKENS = 500_000
 MIN_SLICES = 256
+#: Runs of slices whose filter sizes the driver adds up.
+MAX_BINS = 16_384
 #: N-grams or rare words that a task gathers before it hands them on.
 FLUSH = 1_000_000
 #: Bytes of text scored at once.
 CHUNK = 1 << 20
-_LOW = np.uint64((1 << 40) - 1)
 _END = hash_words([b" "])[0]  # no word has a space
 
 
@@ -116,7 +117,7 @@ class Filters:
         out = np.zeros(len(h), dtype=np.int64)
         s = slice_of(h, len(self.sizes))
         live = np.flatnonzero(self.sizes[s])
-        s, keys, level = s[live], h[live] & _LOW, 1
+        s, keys, level = s[live], h[live], 1
         bits, begin, probes = (8 * self.sizes[s]).astype(np.uint64), (8 * self.begins[s]).astype(np.uint64), self.probes[s]
         most = int(probes.max(initial=0))
         same = bool((probes == most).all())
@@ -187,25 +188,22 @@ def _log_p(counts: list[np.ndarray], norm: float, mu: float) -> np.ndarray:
 
 
 def _pack(slices: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Per slice, its keys (40 bits: 4 and 1 bytes) and counts (4 bytes)."""
+    """Per slice, its keys (8 bytes each) and their counts (4 bytes each)."""
     order = np.argsort(slices, kind="stable")
     slices, keys, counts = slices[order], keys[order], counts[order]
     cuts = np.flatnonzero(np.diff(slices)) + 1
     for lo, hi in zip([0, *cuts], [*cuts, len(slices)]):
         if hi > lo:
-            k = keys[lo:hi]
-            yield int(slices[lo]), b"".join(
-                (k.astype("<u4").tobytes(), (k >> np.uint64(32)).astype(np.uint8).tobytes(), counts[lo:hi].astype("<u4").tobytes())
-            )
+            yield int(slices[lo]), keys[lo:hi].astype("<u8").tobytes() + counts[lo:hi].astype("<u4").tobytes()
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the blobs, sorted, and their total counts."""
     keys, counts = [], []
     for b in blobs:
-        n = len(b) // 9
-        keys.append(np.frombuffer(b, "<u4", n).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
-        counts.append(np.frombuffer(b, "<u4", n, 5 * n))
+        n = len(b) // 12
+        keys.append(np.frombuffer(b, "<u8", n))
+        counts.append(np.frombuffer(b, "<u4", n, 8 * n))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     unique, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -234,7 +232,7 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
             for k, parts in enumerate(held):
                 if parts:
                     h, n = np.unique(np.concatenate(parts), return_counts=True)
-                    rows += [(s, k + 1, blob) for s, blob in _pack(slice_of(h, slices), h & _LOW, n)]
+                    rows += [(s, k + 1, blob) for s, blob in _pack(slice_of(h, slices), h, n)]
                 parts.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
@@ -319,13 +317,35 @@ def frequent_words(model: DataFrame, slices: int, most: int = MAX_FREQUENT) -> t
 
     keys, counts = [], []
     for r in sorted(model.select("slice", "n_words", "words").mapInArrow(pick, "slice int, k binary, c binary").collect()):
-        # The full hash is not kept; a slice and 40 bits tell words apart.
-        keys.append(np.frombuffer(bytes(r.k), np.uint64) | np.uint64(r.slice) << np.uint64(40))
+        # Slices follow the order of the hashes, so the whole is sorted.
+        keys.append(np.frombuffer(bytes(r.k), np.uint64))
         counts.append(np.frombuffer(bytes(r.c), np.int64))
     none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     return least, np.concatenate(keys or none[0]), np.concatenate(counts or none[1])
 
 
+def filter_segments(model: DataFrame, slices: int, order: int, most: int) -> list[tuple[int, int]]:
+    """(first, last) slices of segments whose filters, of all orders together,
+    have at most ``most`` bytes (or are of one slice), in order. The driver gets
+    a row for each of MAX_BINS runs of slices at most, and one for each segment."""
+    need = sum(F.octet_length(F.col("filters")[k]) for k in range(order))
+    width = -(-slices // MAX_BINS)
+    sized = model.select("slice", F.floor(F.col("slice") / width).alias("bin"), need.cast("long").alias("need"))
+    total, largest, before = 0, 0, []
+    for r in sized.groupBy("bin").agg(F.sum("need").alias("need"), F.max("need").alias("largest")).orderBy("bin").collect():
+        before.append((r.bin, total))
+        total, largest = total + r.need, max(largest, r.largest)
+    if total <= most:
+        return [(0, slices - 1)]
+    starts = model.sparkSession.createDataFrame(before, "bin long, before long")
+    upto = F.col("before") + F.sum("need").over(Window.partitionBy("bin").orderBy("slice"))
+    # By where a slice ends: one that begins in the segment before adds a part
+    # of itself, so that much is left free.
+    at = F.floor((upto - 1) / max(1, most - largest))
+    found = sized.join(F.broadcast(starts), "bin").select("slice", at.alias("at")).groupBy("at").agg(F.min("slice").alias("lo"), F.max("slice").alias("hi"))
+    return sorted((r.lo, r.hi) for r in found.collect())
+
+
 def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (exact add-half unigram log10) and score (log10 probability).
@@ -342,19 +362,10 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
     frequent = spark.sparkContext.broadcast((keys, counts))
     norm = total + 0.5 * (distinct + 1)
 
-    # Segments of slices, each within the bound, filters of all orders together.
-    sizes = model.select("slice", *[F.octet_length(F.col("filters")[k]).alias(f"f{k}") for k in range(order)]).collect()
-    segments, room = [[]], max_filter_bytes
-    for r in sorted(sizes):
-        need = sum(r[1:])
-        if segments[-1] and need > room:
-            segments.append([])
-            room = max_filter_bytes
-        segments[-1].append(r[0])
-        room -= need
-
-    def fetch(k: int, ids: list[int]) -> Filters:
-        rows = model.where(F.col("slice").between(ids[0], ids[-1]))
+    segments = filter_segments(model, slices, order, max_filter_bytes)
+
+    def fetch(k: int, ends: tuple[int, int]) -> Filters:
+        rows = model.where(F.col("slice").between(*ends))
         rows = rows.select("slice", F.col("filters")[k].alias("f"), F.col("probes")[k].alias("p"))
         return Filters.join(slices, {r.slice: (bytes(r.f), r.p) for r in rows.toLocalIterator()})
 
@@ -372,7 +383,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                 rare.clear()
                 at = slice_of(h, slices)
                 at_order = np.argsort(at, kind="stable")
-                at, h, row = at[at_order], h[at_order] & _LOW, row[at_order]
+                at, h, row = at[at_order], h[at_order], row[at_order]
                 cuts = np.flatnonzero(np.diff(at)) + 1
                 ends = [(lo, hi) for lo, hi in zip([0, *cuts], [*cuts, len(at)])]
                 blobs = [h[lo:hi].tobytes() + row[lo:hi].tobytes() for lo, hi in ends]
@@ -395,10 +406,9 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
                     row = serial + np.arange(lo, hi)
                     if not first:
                         continue
-                    short = own & _LOW | slice_of(own, slices).astype(np.uint64) << np.uint64(40)
-                    place = np.minimum(np.searchsorted(known_words, short), max(len(known_words) - 1, 0))
-                    here = known_words[place] == short if len(known_words) else np.zeros(len(short), bool)
-                    c = exact[place] if len(known_words) else np.zeros(len(short))
+                    place = np.minimum(np.searchsorted(known_words, own), max(len(known_words) - 1, 0))
+                    here = known_words[place] == own if len(known_words) else np.zeros(len(own), bool)
+                    c = exact[place] if len(known_words) else np.zeros(len(own))
                     yield _rows(
                         hi - lo, row=row, score=log_p, doc_id=b.column(0)[lo:hi], held_out=b.column(1)[lo:hi], n_tokens=n,
                         n_known=np.add.reduceat(here.astype(np.int64), starts),
@@ -436,8 +446,8 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, max_filter_bytes:
 
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
     made = None
-    for k, ids in enumerate(segments):
-        parts = [fetch(n, ids) if ids else Filters.join(slices, {}) for n in range(order)]
+    for k, ends in enumerate(segments):
+        parts = [fetch(n, ends) for n in range(order)]
         segment = spark.sparkContext.broadcast(parts)
         del parts
         part = source.mapInArrow(scan(k == 0, segment), schema)
