@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, hash_words, rolling, text_parts, utf8
+from .common import WORD_TABLE, bounded, hash_words, materialise, rolling, text_parts, utf8
 
 #: A line that more documents of a host have is boilerplate there.
 MAX_DOCS = 100
@@ -25,6 +25,8 @@ MIN_LEFT = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+#: Repeated ids (8 bytes and the hash table) that may be broadcast.
+MAX_REPEATED = 1_000_000
 #: The rows of a hot line are joined in this many groups.
 SALTS = 16
 _SYMBOLS = b"#*$%&|<>"
@@ -73,6 +75,39 @@ def lines_of(text: bytes) -> dict[int, int]:
 
 
 def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """_host, _line, n_docs: how many distinct documents of a host have a line.
+    Rows with one doc_id are one document; each row without one is one. Null and
+    empty texts have no lines, and an empty table has none."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    repeated = ids.where("count > 1").select("doc_id")
+    few = bounded(repeated, MAX_REPEATED)
+    if few is None:
+        few = materialise(repeated, "repeated")
+    elif few.isEmpty():
+        return _row_counts(docs, host)
+    else:
+        few = F.broadcast(few)
+    own = docs.select("doc_id", "text", F.col(f"`{host}`").alias(host))
+    once = _row_counts(own.join(few, "doc_id", "left_anti"), host)
+    lines = own.join(few, "doc_id", "left_semi").select("doc_id", _host_key(host), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, texts in text_parts(b.column(2)):
+                of, keys = [], []
+                for k, t in enumerate(texts, lo):
+                    found = lines_of(t)
+                    of += [k] * len(found)
+                    keys += found
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.int64())], ["doc_id", _HOST, "_line"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    several = lines.mapInArrow(run, f"doc_id {kind}, {_HOST} string, _line long").distinct().groupBy(_HOST, "_line").agg(F.count(F.lit(1)).alias("n_docs"))
+    return once.unionByName(several).groupBy(_HOST, "_line").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def _row_counts(docs: DataFrame, host: str) -> DataFrame:
     """_host, _line, n_docs: how many rows of ``docs`` of a host have a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +143,18 @@ def line_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def _host_key(host: str):
     """Null is a host of its own."""
-    return F.when(F.col(host).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(host).cast("string"))).alias(_HOST)
+    return F.when(F.col(f"`{host}`").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(f"`{host}`").cast("string"))).alias(_HOST)
 
 
 def report(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row of ``docs``: doc_id, the base measures, base_failed, n_left
     (words outside boilerplate lines) and kept.
 
-    Null and empty texts have no words and fail the base rules. Every row is a
-    document of its own, whatever its doc_id, which may be null or repeated. A
-    null host is a host. Lines are compared by 64-bit hashes; a line counts once
-    per row. Other columns are not read. An empty table gives no rows.
+    Null and empty texts have no words and fail the base rules. Every row is
+    judged by itself; for line frequencies rows of one doc_id are one document,
+    and a row without an id is one. A null host is a host. Lines are compared by
+    64-bit hashes; texts are read whole. Other columns are not read. An empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +212,9 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 
 def strip_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
     """doc_id and text of every row, without the host's boilerplate lines; a
-    null text stays null. The boilerplate goes to the rows by a shuffle join on
-    (host, line), so that no host's list has to fit anywhere."""
+    null text stays null, an empty one empty, and an empty table gives no rows.
+    Repeated rows are stripped each. The boilerplate goes to the rows by a
+    shuffle join on (host, line), so that no host's list has to fit anywhere."""
     lines = docs.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", _host_key(host), F.posexplode_outer(F.split("text", "\n")).alias("_at", "_raw")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_parts, utf8
+from .common import materialise, text_parts
 from .line_rules import repeat_words
 
 #: The classifier is fitted on at most this many labelled documents, those with
@@ -119,7 +119,8 @@ def _scored(docs: DataFrame, model, name: str, keep: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier:
     """The classifier, from at most ``most`` labelled documents. Labels without
-    an id or a quality are left out; of several for an id the least counts."""
+    an id or a quality are left out; of several for an id the least counts, and
+    so does the least text where an id has several rows."""
     sample = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -127,12 +128,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classif
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(t) for t in utf8(b.column(1))]
+            rows = [features(t) for _, _, texts in text_parts(b.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
     rows = (
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("_quality").cast("double"), "text")
-        .mapInArrow(run, "y double, x array<double>").limit(2 * most).collect()
+        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "_quality").agg(F.min("text").alias("text"))
+        .select(F.col("_quality").cast("double"), "text").mapInArrow(run, "y double, x array<double>").collect()
     )
     rows.sort()
     y = np.array([float(r.y > 0) for r in rows])
@@ -224,7 +225,10 @@ def report(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def select(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose posterior is at
     least ``threshold``. Texts are read twice and moved only where there are too
-    many sites to broadcast."""
+    many sites to broadcast. Every row is judged on its whole text, repeated or
+    not; null and empty texts have the features of no words. Null hosts and paths
+    are sites of their own. Extra columns may have any names; an empty table, or
+    labels that are not of both classes, reject nothing."""
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     table = sites(_scored(docs, shared, "_logit", list(dict.fromkeys([host, path]))), host, path)

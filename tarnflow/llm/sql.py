@@ -31,31 +31,31 @@ FROM dw d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 _SPACED = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
 
 _OP8 = f"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS host,
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS host,
     {_SPACED.format("coalesce(text, '')")} AS w
   FROM documents
 ),
 gram AS (
-  SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)
+  SELECT r, k, array_to_string(w[k:k + 4], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)
 ),
-twice AS (SELECT doc_id, g FROM gram GROUP BY doc_id, g HAVING count(*) > 1),
+twice AS (SELECT r, g FROM gram GROUP BY r, g HAVING count(*) > 1),
 rep AS (
-  SELECT doc_id, count(DISTINCT p) AS n
-  FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM gram JOIN twice USING (doc_id, g)) GROUP BY doc_id
+  SELECT r, count(DISTINCT p) AS n
+  FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM gram JOIN twice USING (r, g)) GROUP BY r
 ),
-line AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-norm AS (SELECT doc_id, host, array_to_string({_WORDS.format("x")}, ' ') AS y, len({_SPACED.format("x")}) AS n FROM line),
-common AS (SELECT host, y FROM norm WHERE y <> '' GROUP BY host, y HAVING count(DISTINCT doc_id) > 100),
-cut AS (SELECT doc_id, sum(n) AS n FROM norm JOIN common USING (host, y) GROUP BY doc_id),
+line AS (SELECT doc_id, r, host, unnest(string_split(t, chr(10))) AS x FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+norm AS (SELECT coalesce('d' || doc_id, 'r' || r) AS doc, r, host, array_to_string({_WORDS.format("x")}, ' ') AS y, len({_SPACED.format("x")}) AS n FROM line),
+common AS (SELECT host, y FROM norm WHERE y <> '' GROUP BY host, y HAVING count(DISTINCT doc) > 100),
+cut AS (SELECT r, sum(n) AS n FROM norm JOIN common USING (host, y) GROUP BY r),
 m AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(w) - coalesce(cut.n, 0) AS BIGINT) AS n_left
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id)
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN cut USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_left,

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 #: Intervals (some 100 bytes each) that may be broadcast.
 MAX_BROADCAST = 500_000
@@ -52,15 +54,16 @@ def keys_of(url: Column, depth: int) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, valid_from, valid_to) of entries (pattern, action,
     listed_at). Of entries of one pattern at one time the greatest action counts
-    ("remove", then "block", then "allow"). Repeated entries count once; those
+    ("remove", then "block", then "allow"). Patterns that differ in case only
+    are one. Repeated entries count once; those
     without a pattern, an action or a time are ignored. A pattern that was
     removed is on no list until it is listed again; the last entry has no end.
     """
     known = entries.where("pattern is not null and action is not null and listed_at is not null")
-    one = known.groupBy("pattern", F.col("listed_at").alias("valid_from")).agg(F.max("action").alias("action"))
+    one = known.groupBy(F.lower("pattern").alias("pattern"), F.col("listed_at").alias("valid_from")).agg(F.max("action").alias("action"))
     order = Window.partitionBy("pattern").orderBy("valid_from")
     ended = one.withColumn("valid_to", F.lead("valid_from").over(order))
-    return ended.where(F.col("action") != REMOVE).select(F.lower("pattern").alias("pattern"), "action", "valid_from", "valid_to")
+    return ended.where(F.col("action") != REMOVE).select("pattern", "action", "valid_from", "valid_to")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -71,12 +74,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     parent domains, longer before shorter. Captures under no active pattern are
     kept; those with a null or unusable URL have no host and are not kept; with
     a null time no entry is active. Repeated rows are evaluated each. Patterns
-    are compared without regard to case.
+    are compared without regard to case. Without entries every capture that has
+    a host is kept; without captures there are no rows. Other columns of either
+    table are not read, whatever their names; long URLs count whole.
     """
     rows = captures.select(
         F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{time_col}`").alias("_time")
     )
-    valid = intervals(entries)
+    valid = materialise(intervals(entries.select("pattern", "action", "listed_at")), "intervals")
     keys = rows.select("*", F.posexplode_outer(keys_of(F.col("_url"), depth_of(valid))).alias("_rank", "_key")).withColumn("_key", F.lower("_key"))
     active = (F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
     same = F.col("_key") == F.col("pattern")
@@ -111,7 +116,7 @@ def demo_entries(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of ``pages``: blocks and later removals or
     returns of a part of the hosts, a block of one domain, exceptions for paths.
     Everything follows from the md5 of the host, so SQL can make the same list."""
-    host = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    host = materialise(pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct(), "hosts")
     number = lambda at: F.conv(F.substring(F.md5("host"), at, 3), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     h = host.select("host", number(1).alias("a"), number(4).alias("b"), number(7).alias("c"))

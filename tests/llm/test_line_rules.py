@@ -53,15 +53,26 @@ def test_stripped_texts(spark):
 
 
 def test_equals_sql_with_boilerplate(spark, monkeypatch):
-    rows = host_sample()
-    got = rows_of(R.report(spark.createDataFrame([r for r in rows if r[0] != 11], "doc_id long, text string, source string"), max_docs=4))
+    rows = host_sample() + [(20, "one line of ten words, that many rows of one document have", "big")] * 6
+    rows += [(None, "a line of documents that have no id, each is one", "big")] * 5
+    got = rows_of(R.report(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=4))
     c = duckdb.connect()
     c.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, source VARCHAR)")
-    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [r for r in rows if r[0] != 11])
-    sql = ORACLE_SQL["op8_line_rules"].replace("count(DISTINCT doc_id) > 100", "count(DISTINCT doc_id) > 4")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    sql = ORACLE_SQL["op8_line_rules"].replace("count(DISTINCT doc) > 100", "count(DISTINCT doc) > 4")
     assert got == sorted(c.sql(sql).fetchall(), key=str)
 
 
+def test_rows_of_one_document_count_once(spark, monkeypatch):
+    text = "the very same line of more than ten words in all the rows"
+    df = spark.createDataFrame([(1, text, "h")] * 6 + [(None, text, "n")] * 6, "doc_id long, text string, source string")
+    for most in (R.MAX_REPEATED, 0):
+        monkeypatch.setattr(R, "MAX_REPEATED", most)
+        assert {(r._host, r.n_docs) for r in R.line_counts(df).collect()} == {("+h", 1), ("+n", 6)}
+        kept = [(r.doc_id, r.kept) for r in R.report(df, max_docs=4).collect()]
+        assert kept.count((1, True)) == 6 and kept.count((None, False)) == 6
+
+
 def test_odd_rows_and_empty_table(spark, odd, none):
     assert R.report(none).count() == 0 and R.strip_lines(none).count() == 0
     rows = R.report(with_clashes(odd)).collect()

@@ -38,10 +38,11 @@ ENTRIES = [
     ("bad.com", "block", D("2024-01-10")), ("bad.com", "remove", D("2024-02-01")), ("bad.com", "block", D("2024-03-01")), ("ok.bad.com", "allow", D("2024-01-15")),
     ("bad.com/free", "allow", D("2024-01-10")), ("site.org/Private/a", "block", D("2024-01-01")), ("same.net", "allow", D("2024-01-01")), ("same.net", "block", D("2024-01-01")),
     ("same.net", "block", D("2024-01-01")), (None, "block", D("2024-01-01")), ("x.y", None, D("2024-01-01")), ("x.y", "block", None), ("com", "block", D("2024-06-01")),
+    ("Mixed.com", "block", D("2024-01-01")), ("mixed.com", "remove", D("2024-01-31")), ("MIXED.COM/Path", "block", D("2024-01-10")), ("mixed.com/path", "remove", D("2024-03-01")),
 ]
 URLS = [
     "http://bad.com", "https://www.bad.com/x", "https://ok.bad.com/", "http://BAD.com:80/free/x?y#z", "http://u:p@bad.com./", "http://site.org/private/A/b", "http://site.org/privat", "http://same.net/a//b",
-    "ftp://bad.com", "nonsense", "", None, "http://", "http://x.y/", "http://notbad.com/",
+    "ftp://bad.com", "nonsense", "", None, "http://", "http://x.y/", "http://notbad.com/", "http://mixed.com/", "http://MIXED.com/path/a",
 ]
 DATES = [D(x) for x in ("2023-12-31", "2024-01-01", "2024-01-10", "2024-01-31", "2024-02-01", "2024-03-01", "2024-06-01")] + [None]
 
