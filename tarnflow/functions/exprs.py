@@ -28,6 +28,12 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("||", *parts), 256)
 
 
+def version_key(keys: list[str], start: str) -> Column:
+    """The surrogate key of a version: SHA-256 of its key and start, so that a
+    build that runs again gives the same one."""
+    return row_hash(*keys, start)
+
+
 def opt_col(df: DataFrame, name: str, kind: str) -> Column:
     """A column that may be missing: null of the given type then."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import OPEN_END, row_hash
+from ..functions.exprs import OPEN_END, row_hash, version_key
 
 
 def scd2_initial(df: DataFrame, keys: list[str], tracked: list[str], seq: str) -> DataFrame:
     """All versions from a history of snapshots: rows whose tracked columns
     differ from those of the snapshot before (A, B, A are three versions), with
-    closed intervals [effective_from, effective_to] and is_current. Snapshots
-    are unique on (keys, seq); a key missing later stays open."""
+    closed intervals [effective_from, effective_to], is_current and version_id, a
+    hash of key and start. Snapshots are unique on (keys, seq); a key missing
+    later stays open."""
     w = Window.partitionBy(*keys).orderBy(seq)
     hashed = df.withColumn("_row_hash", row_hash(*tracked))
     changed = hashed.withColumn("_before", F.lag("_row_hash").over(w)).where("_before is null or _before <> _row_hash").drop("_before")
@@ -21,6 +22,7 @@ def scd2_initial(df: DataFrame, keys: list[str], tracked: list[str], seq: str) -
         changed.withColumn("effective_from", F.col(seq))
         .withColumn("effective_to", F.coalesce(F.date_sub(following, 1), F.lit(OPEN_END).cast("date")))
         .withColumn("is_current", F.col("effective_to") == F.lit(OPEN_END).cast("date"))
+        .withColumn("version_id", version_key(keys, "effective_from"))
     )
 
 
@@ -48,7 +50,7 @@ def scd2_apply(target: DataFrame, snapshot: DataFrame, keys: list[str], tracked:
     )
     opened = changes.drop("_is_new").withColumns(
         {"effective_from": F.col(seq), "effective_to": F.lit(OPEN_END).cast("date"), "is_current": F.lit(True)}
-    )
+    ).withColumn("version_id", version_key(keys, "effective_from"))
     return old.drop("_closed_at").unionByName(opened.select(*target.columns))
 
 
@@ -82,16 +84,24 @@ def interval_join(fact: DataFrame, dim: DataFrame, keys: list[str], at: str, sta
 
 
 def asof_join(fact: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str) -> DataFrame:
-    """Left, backward, inclusive as-of join: versions get the start of the next
-    one as their end, so a fact meets one version at most and nothing fans out.
-    Versions are unique on (keys, since)."""
-    order = Window.partitionBy(*keys).orderBy(since)
-    bounded = versions.withColumn("_until", F.lead(since).over(order))
-    bounded = bounded.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in bounded.columns if c not in keys])
-    condition = (F.col(at) >= F.col(since)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
-    for k in keys:
-        condition = (F.col(k) == F.col(f"_k_{k}")) & condition
-    return fact.join(bounded, condition, "left").drop("_until", *[f"_k_{k}" for k in keys])
+    """Left, backward, inclusive as-of join: facts and versions are sorted
+    together by key and time, and a fact has the last version before it. One
+    exchange, one sort, and a time that grows with the rows of a key, not with
+    its facts times its versions. Versions are unique on (keys, since); null keys
+    and times match nothing."""
+    own = [c for c in versions.columns if c not in keys]
+    key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    known = versions.where(F.col(since).isNotNull()).select(*key, F.col(since).alias("_at"), F.lit(0).alias("_is_fact"), F.struct(*own).alias("_version"))
+    time = known.schema["_at"].dataType
+    facts = fact.select(*key, F.col(at).cast(time).alias("_at"), F.lit(1).alias("_is_fact"), F.struct("*").alias("_fact"))
+    both = facts.unionByName(known, allowMissingColumns=True)
+    upto = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", "_is_fact").rowsBetween(Window.unboundedPreceding, 0)
+    usable = F.lit(True)
+    for i in range(len(keys)):
+        usable = usable & F.col(f"_k{i}").isNotNull()
+    found = both.withColumn("_version", F.last("_version", ignorenulls=True).over(upto)).where("_is_fact = 1")
+    found = found.select("_fact", F.when(usable, F.col("_version")).alias("_version"))
+    return found.select("_fact.*", *[F.col("_version")[c].alias(c) for c in own])
 
 
 def dim_date(spark, start: str, end: str) -> DataFrame:

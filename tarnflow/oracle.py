@@ -22,7 +22,7 @@ g AS (
     {_per("sum(line_amount)", "count(line_amount)")} AS avg_line_value, count(DISTINCT date_key) AS distinct_order_days,
     first(loyalty_tier ORDER BY date_key DESC, order_id DESC) AS latest_loyalty_tier,
     CAST(date_diff('day', max(date_key), DATE '2001-12-31') AS INTEGER) AS days_since_last_order,
-    CAST(date_diff('day', min(date_key), DATE '2001-12-31') AS INTEGER) AS customer_tenure_days
+    CAST(date_diff('day', min(date_key), max(date_key)) AS INTEGER) AS customer_tenure_days
   FROM s WHERE customer_id IS NOT NULL GROUP BY customer_id
 ),
 t AS (
@@ -157,6 +157,23 @@ SELECT order_id, l_linenumber, s.l_partkey AS product_id, l_extendedprice AS lin
 FROM (SELECT x.*, since, price FROM ({_SHIPPED}) x ASOF LEFT JOIN ({_PRICES}) p ON x.l_partkey = p.l_partkey AND order_day >= since) s
 LEFT JOIN ({_VERSIONS}) v ON s.customer_id = v.customer_id AND order_day BETWEEN effective_from AND effective_to
 LEFT JOIN part ON s.l_partkey = p_partkey
+""",
+    "scd2_version_keys": f"""
+SELECT customer_id, effective_from, sha256(CAST(customer_id AS VARCHAR) || '||' || strftime(effective_from, '%Y-%m-%d')) AS version_id FROM ({_VERSIONS})
+""",
+    "fact_sales_build": f"""
+WITH p AS (
+  SELECT p_partkey, p_type, CAST(p_retailprice AS DECIMAL(10,2)) AS price, DATE '1992-06-01' AS since FROM part
+  UNION ALL SELECT p_partkey, p_type, CAST(p_retailprice AS DECIMAL(10,2)) + 1, DATE '1996-01-01' FROM part
+),
+c AS (
+  SELECT v.*, c_name, n_name, r_name FROM ({_VERSIONS}) v JOIN customer ON v.customer_id = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)
+SELECT s.order_id, l_linenumber AS line_number, s.l_partkey AS product_id, s.order_day AS date_key, order_status, 'US' AS ship_country, c_name AS customer_first_name,
+  priority AS customer_loyalty_tier_at_order_time, n_name AS customer_state_at_order_time, r_name AS customer_country_at_order_time,
+  lower(left(n_name, 2)) AS customer_language_at_order_time, p_type AS category, CAST(price AS DOUBLE) AS price_at_order_time
+FROM ({_SHIPPED}) s LEFT JOIN c ON s.customer_id = c.customer_id AND s.order_day BETWEEN effective_from AND effective_to
+ASOF LEFT JOIN p ON s.l_partkey = p.p_partkey AND s.order_day >= p.since
 """,
     "orders_dedup_latest": f"SELECT order_id, source_key, extract FROM ({_DEDUP})",
     "orders_valid": f"SELECT order_id, customer_id, CAST(total_amount AS DOUBLE) AS total_amount, order_date FROM ({_REASON}) WHERE reason IS NULL",
@@ -215,6 +232,8 @@ SELECT 0 AS version, 'overwrite' AS operation, NULL AS inserted, NULL AS updated
 """,
     "stream_ingest_events": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_ingest_lineage": "SELECT true AS complete, count(*) AS rows, CAST(0 AS BIGINT) AS second_run FROM events",
+    "bronze_file_counts": "SELECT 'day' || (event_id % 3) AS landing, count(*) AS rows FROM events GROUP BY ALL",
+    "stream_ingest_continuous": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_schema_evolution": "SELECT event_id, event_type, value, CASE WHEN event_id % 2 = 1 THEN 'D' || event_id END AS discount_code FROM events",
     "stream_dedup_watermark": "SELECT event_id, user_id, event_type FROM events",
     "stream_window_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -245,6 +264,13 @@ WITH c AS (
   UNION ALL SELECT 'duplicate_orders', (SELECT count(*) - count(DISTINCT order_id) FROM ({_REASON}) WHERE reason IS NULL), 0, false
   UNION ALL SELECT 'open_versions', (SELECT max(n) FROM (SELECT count(*) AS n FROM ({_VERSIONS}) WHERE is_current GROUP BY customer_id)), 1, false
   UNION ALL SELECT 'rejects_without_reason', 0, 0, false
+  UNION ALL SELECT 'rows_against_last_run', (SELECT round(CAST(count(*) AS DOUBLE) / count(*) FILTER (extract = 1), 6) FROM ({_LANDED})), 0.8, true
+  UNION ALL SELECT 'quarantine_against_last_run', round(CAST((SELECT count(*) FROM ({_REASON}) WHERE reason IS NOT NULL) AS DOUBLE) / greatest(1, (
+    SELECT count(*) FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY source_key DESC) AS rn FROM ({_LANDED}) WHERE extract = 1)
+    WHERE (rn = 1 OR order_id IS NULL) AND (order_id IS NULL OR customer_id IS NULL OR total_amount IS NULL OR total_amount <= 0 OR coalesce(item_count, 0) <= 0 OR order_date > DATE '2001-12-31')
+  )), 6), 10, false
+  UNION ALL SELECT 'lines_without_fact', (SELECT abs((SELECT count(*) FROM ({_SHIPPED})) - (SELECT count(*) FROM ({_SHIPPED}) s LEFT JOIN ({_VERSIONS}) v
+    ON s.customer_id = v.customer_id AND ship_day BETWEEN effective_from AND effective_to))), 0, false
 )
 SELECT "check", CAST(value AS DOUBLE) AS value, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN least THEN value >= threshold ELSE value <= threshold END AS passed FROM c
 """,

@@ -88,6 +88,32 @@ def check(df: DataFrame, name: str, value: Column, threshold: float, least: bool
     return v.select(F.lit(name).alias("check"), "value", F.lit(float(threshold)).alias("threshold"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
+def _rows(run: int) -> Column:
+    return F.count_if(F.col("v") == run)
+
+
+def _against(before: DataFrame, now: DataFrame, name: str, ratio: Column, threshold: float, least: bool) -> DataFrame:
+    both = before.select(F.lit(0).alias("v")).unionByName(now.select(F.lit(1).alias("v")))
+    return check(both, name, ratio, threshold, least)
+
+
+def no_drop(before: DataFrame, now: DataFrame, name: str, least: float = 0.8) -> DataFrame:
+    """Rows of this run over those of the last: at least ``least``. Passes where
+    the last run had none."""
+    return _against(before, now, name, F.coalesce(F.round(_rows(1) / F.nullif(_rows(0), F.lit(0)), 6), F.lit(1.0)), least, True)
+
+
+def no_surge(before: DataFrame, now: DataFrame, name: str, most: float = 10.0) -> DataFrame:
+    """Rejects of this run over those of the last (one, if it had none): at most
+    ``most``."""
+    return _against(before, now, name, F.round(_rows(1) / F.greatest(_rows(0), F.lit(1)), 6), most, False)
+
+
+def same_rows(source: DataFrame, built: DataFrame, name: str) -> DataFrame:
+    """Rows that a build has lost or made: none."""
+    return _against(source, built, name, F.abs(_rows(1) - _rows(0)), 0, False)
+
+
 def audit(checks: list[DataFrame]) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -43,17 +43,21 @@ def daily_revenue(lines: DataFrame) -> DataFrame:
 
 def customer_lifetime(lines: DataFrame, as_of: str, tier: str = "loyalty_tier") -> DataFrame:
     """By customer: recency, frequency and monetary value, their quintiles over
-    all customers, and the segment. The tier is that of the last order."""
+    all customers, and the segment. The tier is that of the last order. Lines are
+    summed by order and day first, so that distinct counts multiply those alone."""
     today = F.lit(as_of).cast("date")
-    g = lines.where("customer_id is not null").groupBy("customer_id").agg(
+    g = lines.where("customer_id is not null").groupBy("customer_id", "order_id", "date_key").agg(
+        F.sum("line_amount").alias("m"), F.count("line_amount").alias("n"), F.max_by(tier, F.struct("date_key", "order_id")).alias("tier")
+    )
+    g = g.groupBy("customer_id").agg(
         F.max("date_key").alias("last_order_date"), F.min("date_key").alias("first_order_date"), F.countDistinct("order_id").alias("total_orders"),
-        F.sum("line_amount").alias("m"), F.count("line_amount").alias("n"), F.countDistinct("date_key").alias("distinct_order_days"),
-        F.max_by(tier, F.struct("date_key", "order_id")).alias("latest_loyalty_tier"),
+        F.sum("m").alias("m"), F.sum("n").alias("n"), F.countDistinct("date_key").alias("distinct_order_days"),
+        F.max_by("tier", F.struct("date_key", "order_id")).alias("latest_loyalty_tier"),
     )
     g = g.select(
         "customer_id", "last_order_date", "first_order_date", "total_orders", _money(F.col("m")).alias("lifetime_revenue"), "m",
         _per(F.col("m"), F.col("n")).alias("avg_line_value"), "distinct_order_days", "latest_loyalty_tier",
-        F.datediff(today, "last_order_date").alias("days_since_last_order"), F.datediff(today, "first_order_date").alias("customer_tenure_days"),
+        F.datediff(today, "last_order_date").alias("days_since_last_order"), F.datediff("last_order_date", "first_order_date").alias("customer_tenure_days"),
     )
     # Stored, as each quintile also samples and counts it.
     path = work_path(lines.sparkSession, "customers")
@@ -67,9 +71,14 @@ def customer_lifetime(lines: DataFrame, as_of: str, tier: str = "loyalty_tier")
 
 
 def product_performance(lines: DataFrame) -> DataFrame:
-    g = lines.where("product_id is not null").groupBy("product_id").agg(
-        F.min("product_name").alias("product_name"), F.min("category").alias("category"), F.min("brand").alias("brand"),
-        F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"),
+    """By product: distinct orders, customers and days, units and revenue. Lines
+    are summed by order, customer and day first."""
+    names = [F.min(c).alias(c) for c in ("product_name", "category", "brand")]
+    g = lines.where("product_id is not null").groupBy("product_id", "order_id", "customer_id", "date_key").agg(
+        *names, F.sum("quantity").alias("quantity"), F.sum("line_amount").alias("line_amount")
+    )
+    g = g.groupBy("product_id").agg(
+        *names, F.countDistinct("order_id").alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"),
         F.sum("quantity").cast("long").alias("total_units_sold"), F.sum("line_amount").alias("r"),
         F.countDistinct("date_key").alias("days_with_sales"), F.max("date_key").alias("last_sale_date"),
     )

@@ -14,6 +14,8 @@ from ..operators.temporal import asof_join, dim_date, interval_join, scd2_apply,
 from ..sources.table import SnapshotTable
 from . import marts
 
+# Column lists, reject reasons and constraint names that users of
+# the tables rely on.
 ADDRESS = "struct<street string, city string, state string, zip string, country string>"
 ITEMS = "array<struct<product_id string, quantity int, unit_price double>>"
 TRACKED = [
@@ -99,7 +101,8 @@ def fact_sales(lines: DataFrame, orders: DataFrame, customers: DataFrame, produc
     head = orders.select("order_id", "status", "payment_method", "ship_state", "ship_country")
     base = lines.join(head, "order_id").withColumnRenamed("status", "order_status").withColumn("date_key", F.to_date("order_date"))
     versions = customers.select(
-        "customer_id", "effective_from", "effective_to", *[F.col(c).alias(f"customer_{c}_at_order_time") for c in ("loyalty_tier", "address_city", "address_state", "address_country")],
+        "customer_id", "effective_from", "effective_to", *[F.col(c).alias(f"customer_{c}_at_order_time") for c in ("loyalty_tier",)],
+        *[F.col(c).alias(f"customer_{name}_at_order_time") for c, name in (("address_state", "state"), ("address_country", "country"), ("preferred_language", "language"))],
         F.col("first_name").alias("customer_first_name"), F.col("last_name").alias("customer_last_name"),
     )
     with_customer = interval_join(base, versions, ["customer_id"], "date_key").drop("effective_from", "effective_to")

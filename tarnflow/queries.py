@@ -158,7 +158,10 @@ def point_in_time_lookup(spark, sf_dir):
 def shipped(spark, sf_dir) -> DataFrame:
     """Lines by ship date, with their customer."""
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_partkey", "l_linenumber", day("l_shipdate").alias("ship_day"), "l_extendedprice")
-    return line.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), day("o_orderdate").alias("order_day")), "order_id")
+    head = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), day("o_orderdate").alias("order_day"), F.col("o_orderstatus").alias("order_status")
+    )
+    return line.join(head, "order_id")
 
 
 @query
@@ -183,8 +186,7 @@ def product_price_asof(spark, sf_dir):
 @query
 def fact_sales(spark, sf_dir):
     """Lines, headers, the customer version and the price of the order day."""
-    lines = shipped(spark, sf_dir).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("order_status")), "order_id")
-    with_customer = T.interval_join(lines, version_columns(versions(spark, sf_dir)), ["customer_id"], "order_day")
+    with_customer = T.interval_join(shipped(spark, sf_dir), version_columns(versions(spark, sf_dir)), ["customer_id"], "order_day")
     full = T.asof_join(with_customer, prices(spark, sf_dir), ["l_partkey"], "order_day", "since")
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"), F.col("p_brand").alias("brand"))
     return full.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
@@ -193,6 +195,41 @@ def fact_sales(spark, sf_dir):
     )
 
 
+@query
+def scd2_version_keys(spark, sf_dir):
+    """Every version with its surrogate key."""
+    return versions(spark, sf_dir).select("customer_id", "effective_from", "version_id")
+
+
+@query
+def fact_sales_build(spark, sf_dir):
+    """The warehouse's own fact builder, over the given tables in its columns."""
+    line = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast("decimal(12,2)").alias("line_amount"),
+    )
+    o = read(spark, sf_dir, "orders")
+    head = o.select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("payment_method"),
+        F.lit("CA").alias("ship_state"), F.lit("US").alias("ship_country"),
+    )
+    lines = line.join(o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), day("o_orderdate").alias("order_date")), "order_id")
+    place = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    person = read(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("last_name"),
+        F.col("n_name").alias("address_state"), F.col("r_name").alias("address_country"), F.lower(F.substring("n_name", 1, 2)).alias("preferred_language"),
+    )
+    customers = versions(spark, sf_dir).withColumnRenamed("priority", "loyalty_tier").join(person, "customer_id")
+    part = read(spark, sf_dir, "part").select(*product_columns()).withColumns({"margin_pct": X.margin_pct(F.col("price"), F.col("cost")), "price_band": X.price_band(F.col("price"))})
+    products = part.withColumn("last_updated", F.explode(F.array(*[F.lit(d).cast("date") for d in ("1992-06-01", "1996-01-01")])))
+    products = products.withColumn("price", F.when(F.year("last_updated") > 1995, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(10,2)"))
+    return retail.fact_sales(lines, head, customers, products).select(
+        "order_id", "line_number", "product_id", "date_key", "order_status", "ship_country", "customer_first_name", "customer_loyalty_tier_at_order_time",
+        "customer_state_at_order_time", "customer_country_at_order_time", "customer_language_at_order_time", "category",
+        F.col("price_at_order_time").cast("double").alias("price_at_order_time"),
+    )
+
+
 # Deduplication, validation ------------------------------------------------
 
 
@@ -217,6 +254,12 @@ def split_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return R.split_rejects(deduplicated(spark, sf_dir), retail.order_rules(F.lit(AS_OF).cast("date")))
 
 
+def split_reasons(spark, sf_dir, extract: int) -> DataFrame:
+    """Rejects of one extract alone."""
+    one = R.latest_by(landed_orders(spark, sf_dir).where(F.col("extract") == extract), ["order_id"], ["source_key"], keep_null_keys=True)
+    return R.split_rejects(one, retail.order_rules(F.lit(AS_OF).cast("date")))[1]
+
+
 @query
 def orders_dedup_latest(spark, sf_dir):
     return deduplicated(spark, sf_dir).select("order_id", "source_key", "extract")
@@ -403,6 +446,38 @@ def stream_ingest_lineage(spark, sf_dir):
     return table.read().groupBy(whole.alias("complete")).agg(F.count(F.lit(1)).alias("rows")).withColumn("second_run", F.lit(added[1]).cast("long"))
 
 
+@query
+def bronze_file_counts(spark, sf_dir):
+    """Rows of each landed file, once ingested."""
+    path, base = work_path(spark, "landed"), work_path(spark, "bronze")
+    e = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    for k in range(3):
+        files.write_jsonl(e.where(F.col("event_id") % 3 == k).coalesce(1), f"{path}/day{k}")
+    table = SnapshotTable(spark, f"{base}/table")
+    stream = files.add_lineage(files.file_stream(spark, path, "json", f"{base}/schema").select("*", "_metadata"))
+    streaming.ingest(stream, table, f"{base}/checkpoint")
+    return files.file_counts(table.read()).select(F.regexp_extract("_source_file", r"/(day\d+)/", 1).alias("landing"), "rows")
+
+
+@query
+def stream_ingest_continuous(spark, sf_dir):
+    """Ingestion switched to micro-batches on a timer: what is there is taken in,
+    then what lands while the query runs; the caller stops it."""
+    path, base = work_path(spark, "landing"), work_path(spark, "continuous")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    files.write_jsonl(e.where("event_id % 2 = 0"), f"{path}/first")
+    table = SnapshotTable(spark, f"{base}/table")
+    stream = files.file_stream(spark, path, "json", f"{base}/schema")
+    running = streaming.ingest(stream, table, f"{base}/checkpoint", continuous=True, every="1 second")
+    try:
+        running.processAllAvailable()
+        files.write_jsonl(e.where("event_id % 2 = 1"), f"{path}/second")
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return table.read().select(*e.columns)
+
+
 @query
 def stream_schema_evolution(spark, sf_dir):
     """Files with a new column in the second half: null in the rows before."""
@@ -523,6 +598,10 @@ def audit_report(spark, sf_dir):
         G.check(R.duplicate_keys(valid, ["order_id"]), "duplicate_orders", F.max("duplicates"), 0, False),
         G.check(current, "open_versions", F.max("n"), 1, False),
         G.check(rejects, "rejects_without_reason", F.count_if(F.col("_quarantine_reason").isNull()), 0, False),
+        # The run before had the first extracts only.
+        G.no_drop(bronze.where("extract = 1"), bronze, "rows_against_last_run"),
+        G.no_surge(split_reasons(spark, sf_dir, 1), rejects, "quarantine_against_last_run"),
+        G.same_rows(shipped(spark, sf_dir), fact, "lines_without_fact"),
     ])
 
 
@@ -557,9 +636,9 @@ def retail_end_to_end(spark, sf_dir):
     and rows that the second run added."""
     w = retail.Warehouse(spark, work_path(spark, "retail"))
     data = (
-        generators.products(spark, 0, 200).unionByName(generators.products(spark, 1, 200)),
-        generators.customers(spark, 0, 500).unionByName(generators.customers(spark, 7, 500)),
-        generators.orders(spark, 8, 400, customers=500, products=200),
+        generators.products(spark, 0, 1000).unionByName(generators.products(spark, 1, 1000)),
+        generators.customers(spark, 0, 10_000).unionByName(generators.customers(spark, 7, 10_000)),
+        generators.orders(spark, 8, 1500, customers=10_000, products=1000),
     )
     counts: dict[str, list[int]] = {}
 

@@ -149,6 +149,11 @@ def add_lineage(df: DataFrame) -> DataFrame:
     )
 
 
+def file_counts(bronze: DataFrame) -> DataFrame:
+    """Rows and first ingestion of each source file of an ingested table."""
+    return bronze.groupBy("_source_file").agg(F.count(F.lit(1)).alias("rows"), F.min("_ingestion_timestamp").alias("first_ingested"))
+
+
 def reset_source(spark: SparkSession, *locations: str) -> None:
     """Delete landing, checkpoint, schema or table locations."""
     for x in locations:

@@ -1,9 +1,11 @@
 """SnapshotTable: a versioned table of Parquet files with a commit log.
 
-A commit writes new files under a fresh name and then creates the next log entry
-exclusively, so readers see whole versions, writers that lose a race fail, and
-old versions stay readable. A merge rewrites only the files that hold rows it
-touches. All paths go through Hadoop's file systems, so any store works.
+A commit writes new files under a fresh name and then moves a complete log entry
+to the next version's name, which fails if that is taken: readers see whole
+versions, writers that lose a race fail, and old versions stay readable. A merge
+rewrites only the files that hold rows it touches. All paths go through Hadoop's
+file systems. The move must be atomic, as on HDFS; on a store where it is not
+(plain object stores), a table may have one writer at a time.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 class CommitConflict(RuntimeError):
     """Another writer made the version first."""
@@ -37,6 +42,7 @@ class Entry:
     comment: str = ""
     inputs: list[str] = field(default_factory=list)
     batch: list[Any] | None = None
+    batches: dict[str, int] = field(default_factory=dict)
     committed_at: float = 0.0
 
 
@@ -75,20 +81,27 @@ class SnapshotTable:
 
     def _commit(self, entry: Entry) -> Entry:
         entry.committed_at = time.time()
-        p = self._path("_log", f"{entry.version:010d}.json")
-        try:
-            out = self._fs().create(p, False)
-        except Exception as e:
-            raise CommitConflict(f"version {entry.version} of {self.path} exists") from e
+        jvm = self.spark.sparkContext._jvm
+        final, draft = self._path("_log", f"{entry.version:010d}.json"), self._path("_log", f"{uuid.uuid4().hex}.draft")
+        out = self._fs().create(draft, False)
         out.write(json.dumps(entry.__dict__).encode())
         out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(draft, final, none)
+        except Py4JJavaError as e:
+            self._fs().delete(draft, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise CommitConflict(f"version {entry.version} of {self.path} exists") from e
+            raise
         return entry
 
     def _next(self, operation: str, **changes: Any) -> Entry:
         if not self.exists():
             return Entry(0, operation, "", [], **changes)
         last = self.entry()
-        kept = {k: getattr(last, k) for k in ("schema", "files", "constraints", "properties", "tags", "column_tags", "comment")}
+        kept = {k: getattr(last, k) for k in ("schema", "files", "constraints", "properties", "tags", "column_tags", "comment", "batches")}
         return Entry(last.version + 1, operation, **(kept | changes))
 
     def history(self) -> DataFrame:
@@ -157,9 +170,12 @@ class SnapshotTable:
     def append(self, df: DataFrame, merge_schema: bool = False, batch: tuple[str, int] | None = None, inputs: list[str] | None = None) -> Entry | None:
         """Add rows. ``merge_schema`` adds new columns, null in old rows. A
         ``batch`` (query, number) that is committed already is skipped."""
-        if batch is not None and any(e.batch == list(batch) for e in map(self.entry, self.versions())):
-            return None
         e = self._next("append", inputs=inputs or [], batch=list(batch) if batch else None)
+        if batch is not None:
+            # The newest entry has the last batch of every query.
+            if e.batches.get(batch[0], -1) >= batch[1]:
+                return None
+            e.batches = e.batches | {batch[0]: batch[1]}
         if e.schema:
             schema = T.StructType.fromJson(json.loads(e.schema))
             new = [f for f in df.schema.fields if f.name not in schema.names]
@@ -180,7 +196,9 @@ class SnapshotTable:
     def merge_upsert(self, source: DataFrame, keys: list[str], compare: list[str], audit: list[str] | None = None) -> dict[str, int]:
         """Replace rows whose ``compare`` columns differ (null-safely), insert
         new keys, keep the rest. Equal rows cause no write, whatever their other
-        columns; without changes there is no commit."""
+        columns; without changes there is no commit. The source is computed once
+        and stored, so that counts and rows are of one state of it."""
+        source = stored(source, "merge-source")
         self._unique(source, keys)
         e = self._next("merge")
         target = self._read(e)
@@ -227,8 +245,23 @@ class SnapshotTable:
         if n:
             e.metrics, e.files = {"inserted": n}, [*e.files, *files]
             self._commit(e)
+        elif files:
+            self._fs().delete(self._path("data", files[0].split("/")[-2]), True)
         return {"inserted": n}
 
+    def rows_in(self, files: list[str]) -> int:
+        """Rows of some of the table's files, from their footers."""
+        return self._read(self.entry(), files).count() if files else 0
+
+    def vacuum(self) -> list[str]:
+        """Delete written folders that no version names, as a failed or refused
+        commit leaves them; their names. No writer may be at work."""
+        named = {f.split("/")[-2] for v in self.versions() for f in self.entry(v).files}
+        gone = [p.rpartition("/")[2] for p in self._list("data") if p.rpartition("/")[2] not in named]
+        for name in gone:
+            self._fs().delete(self._path("data", name), True)
+        return gone
+
     def compact(self, files: int, cluster_by: list[str] | None = None) -> Entry:
         """The same rows in fewer files."""
         e = self._next("optimize")

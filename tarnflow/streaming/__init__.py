@@ -30,11 +30,15 @@ def append_stream(stream: DataFrame, table: SnapshotTable, checkpoint: str, trig
     return _triggered(writer, trigger, every).start()
 
 
-def ingest(stream: DataFrame, table: SnapshotTable, checkpoint: str) -> int:
-    """Drain what is there into the table; rows that this run added."""
-    before = table.read().count() if table.exists() else 0
+def ingest(stream: DataFrame, table: SnapshotTable, checkpoint: str, continuous: bool = False, every: str = "1 minute") -> int | StreamingQuery:
+    """Drain what is there into the table; rows that this run added. With
+    ``continuous`` start micro-batches on a timer instead and return the running
+    query, which the caller stops."""
+    if continuous:
+        return append_stream(stream, table, checkpoint, "processingTime", every)
+    before = set(table.entry().files) if table.exists() else set()
     append_stream(stream, table, checkpoint).awaitTermination()
-    return (table.read().count() if table.exists() else 0) - before
+    return table.rows_in([f for f in table.entry().files if f not in before]) if table.exists() else 0
 
 
 def dedup_within(stream: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
