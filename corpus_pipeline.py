@@ -7,7 +7,6 @@ columns; the last the token pieces with their places in sequences.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,52 +17,42 @@ from tarnflow.llm import common, decontaminate, jaccard_join, packing, pii, qual
 #: each stage with a brute-force version.
 ORACLE_SQL = None
 
-_LAST_SCRATCH: list[str] = []
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _stage(f: Stage) -> Stage:
-    """``f``, which first drops the scratch tables of the stage before it: that
-    stage's result has been written by then."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _LAST_SCRATCH)
-        before = set(common.scratch_tables())
-        out = f(spark, docs, sf_dir)
-        _LAST_SCRATCH[:] = [p for p in common.scratch_tables() if p not in before]
-        return out
-
-    run.__doc__ = f.__doc__
-    return run
-
-
-@_stage
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects. Every row is
+    judged, repeated or not; null and empty texts have the features of no words;
+    without labels of both classes all rows stay. Long texts count whole, extra
+    columns stay as they are, an empty table stays empty."""
     return quality.select(docs, common.read_table(spark, sf_dir, "labels"))
 
 
-@_stage
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One row of each class of near duplicates, the one with the least doc_id,
+    nulls last. Rows without words (null, empty texts) have no class and stay.
+    Long texts count whole, extra columns stay, an empty table stays empty."""
     return jaccard_join.deduplicate(docs)
 
 
-@_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold benchmark text."""
+    """Without the documents that hold benchmark text, each row by itself. Null
+    and empty texts, and all with an empty benchmark, stay. Long texts count
+    whole, extra columns stay, an empty table stays empty."""
     return decontaminate.decontaminate(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts replaced by the names of its kinds."""
+    """Personal data in the texts replaced by the names of its kinds. All rows
+    stay, repeated or not, null texts null; long texts are searched whole, extra
+    columns stay but for n_chars, the new length; an empty table stays empty."""
     return pii.redact(docs)
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 2048."""
+    """Token pieces and their places in sequences of 2048. Null and empty texts
+    are the end id alone, repeated rows are packed each, long texts are cut into
+    pieces; other columns are not read; an empty table packs into no rows."""
     return packing.pack(docs)
 
 
@@ -78,13 +67,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder
-    and read again."""
-    docs = common.read_table(spark, sf_dir, "documents")
-    root = f"{common.scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
-    return docs
+    and read again. What a stage stored for itself, and the table it read, are
+    deleted once its own result is written."""
+    docs, read = common.read_table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        before = common.scratch_tables()
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        *own, result = [p for p in common.scratch_tables() if p not in before]
+        common.release(spark, own + read)
+        read = [result]
+    return STAGES[-1][1](spark, docs, sf_dir)
