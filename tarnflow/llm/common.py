@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 _SCRATCH: list[str] = []
 
 #: ASCII letters lower-cased; every other ASCII byte that is neither a letter
@@ -32,17 +33,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names in
-    ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarnflow-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
 #: Rows of a scratch table that are worth a file of their own.
 FILE_ROWS = 200_000
 
@@ -57,7 +47,7 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    path = f"{scratch_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)

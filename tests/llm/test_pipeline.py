@@ -9,6 +9,7 @@ from tarnflow.llm import common, pii, quality, tokens
 from tarnflow.llm.sql import ORACLE_SQL
 
 from .test_jaccard_join import brute as near
+from .conftest import with_clashes
 from .test_packing import check as check_packing
 
 
@@ -64,3 +65,26 @@ def test_empty_documents(spark, tmp_path, none, sf_dir):
         stage(spark, docs, sf_dir).write.parquet(f"file://{tmp_path}/{k}")
         docs = spark.read.parquet(f"file://{tmp_path}/{k}")
         assert docs.count() == 0
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path, odd, sf_dir):
+    """Nulls, empty and long texts, repeats and clashing columns, on every stage
+    by itself: rows that no operator has a reason to drop stay."""
+    docs = with_clashes(odd)
+    want = {"ngram_jaccard_join": 8, "benchmark_decontamination": 10, "pii": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            continue
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", "text", "key").collect()
+        assert len(rows) == want.get(name, len(rows)) and all(r.key == "key" for r in rows)
+
+
+def test_run_frees_what_stages_stored(spark, sf_dir):
+    before = common.scratch_tables()
+    one = corpus_pipeline.run(spark, sf_dir)
+    left = [p for p in common.scratch_tables() if p not in before]
+    two = corpus_pipeline.run(spark, sf_dir)  # a second run leaves the first readable
+    assert len(left) <= 2 and one.count() == two.count()

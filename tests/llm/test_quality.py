@@ -26,18 +26,18 @@ def test_sparse_sites_are_drawn_to_their_parents(spark):
     assert 0.02 < got["+new", "+z"].host_rate < mean
 
 
-def test_rates_equal_plain_sums(spark):
-    rng = np.random.default_rng(3)
-    rows = [(f"h{rng.integers(4)}", f"p{rng.integers(3)}", float(rng.normal())) for _ in range(500)]
-    got = {(r._host, r._path): (r.host_rate, r.path_rate) for r in quality.sites(spark.createDataFrame(rows, "h string, p string, _logit double"), "h", "p").collect()}
+def plain_rates(rows):
+    """{(host, path): (host rate, path rate)} of (host, path, logit) by sums."""
     p = {k: [] for k in {(h, x) for h, x, _ in rows}}
     for h, x, z in rows:
         p[h, x].append(1 / (1 + np.exp(-z)))
     every = np.concatenate(list(p.values()))
     mean = every.mean()
-    within = (sum((np.array(v) ** 2).sum() - np.sum(v) ** 2 / len(v) for v in p.values())) / len(every)
+    within = max((sum((np.array(v) ** 2).sum() - np.sum(v) ** 2 / len(v) for v in p.values())) / len(every), 1e-6)
 
     def kappa(groups):
+        if len(groups) < 2:
+            return 1e6
         n, rate, parent = (np.array(x, float) for x in zip(*groups))
         between = ((n * (rate - parent) ** 2).sum() - (len(n) - 1) * within) / max(n.sum() - (n**2).sum() / n.sum(), 1e-9)
         return min(1e6, max(1.0, within / max(between, 1e-9)))
@@ -46,9 +46,41 @@ def test_rates_equal_plain_sums(spark):
     k = kappa([(len(v), v.mean(), mean) for v in hosts.values()])
     host_rate = {h: (v.sum() + k * mean) / (len(v) + k) for h, v in hosts.items()}
     k = kappa([(len(v), np.mean(v), hosts[h].mean()) for (h, _), v in p.items()])
-    for (h, x), v in p.items():
-        a, b = got["+" + h, "+" + x]
-        assert abs(a - host_rate[h]) < 1e-9 and abs(b - (np.sum(v) + k * host_rate[h]) / (len(v) + k)) < 1e-9
+    return {(h, x): (host_rate[h], (np.sum(v) + k * host_rate[h]) / (len(v) + k)) for (h, x), v in p.items()}
+
+
+def test_rates_equal_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"h{rng.integers(4)}", f"p{rng.integers(3)}", float(rng.normal())) for _ in range(500)]
+    got = {(r._host, r._path): (r.host_rate, r.path_rate) for r in quality.sites(spark.createDataFrame(rows, "h string, p string, _logit double"), "h", "p").collect()}
+    for (h, x), want in plain_rates(rows).items():
+        assert np.allclose(got["+" + h, "+" + x], want, atol=1e-9)
+
+
+def test_whole_report_against_plain_sums(spark, sf_dir):
+    """Posterior and verdict of every document, from the classifier's logits, the
+    rates by sums and Bayes' rule on odds."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model, rows = quality.fit(docs, labels), docs.collect()
+    logits = model.logits(np.array([quality.features((r.text or "").encode()) for r in rows]))
+    rates = plain_rates([(r.source, r.lang, z) for r, z in zip(rows, logits)])
+    got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for r, z in zip(rows, logits):
+        host, path = rates[r.source, r.lang]
+        odds = np.exp(z) * (1 - model.prior) / model.prior * path / (1 - path)
+        g = got[r.doc_id]
+        assert np.allclose([g.p_doc, g.host_rate, g.path_rate, g.posterior], [1 / (1 + np.exp(-z)), host, path, odds / (1 + odds)], atol=1e-6)
+        assert g.kept == (g.posterior >= 0.5)
+
+
+def test_rows_of_a_labelled_id_count_once(spark):
+    """A third of all rows with one labelled id is one row of the fit."""
+    docs = spark.createDataFrame([(1, f"text {k} of the one id", "en", "s") for k in range(50)] + [(2, "### !!! $$$", "en", "s"), (3, "a good text here", "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    one = docs.groupBy("doc_id", "lang", "source").agg({"text": "min"}).withColumnRenamed("min(text)", "text")
+    a, b = quality.fit(docs, labels), quality.fit(one, labels)
+    assert a.prior == b.prior == 3 / 5 and np.allclose(a.weights, b.weights)
 
 
 def test_salted_join_equals_broadcast(spark, sf_dir, monkeypatch):
