@@ -202,7 +202,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
             return found if leaves is None else leaves.unionByName(found)
         level = [k for k, p in enumerate(PARENTS) if p in set(level)]
         parents = large.groupBy("key").agg(F.collect_list(F.struct("slot", "node")).alias("parents"))
-        members = _nodes(classes.join(parents, "key"), level)
+        members = materialise(_nodes(classes.join(parents, "key"), level), f"children{depth}", rows)
         sized = _sized(members)
         pairs = lambda c: F.col(c) * (F.col(c) - 1)
         left = sized.groupBy(F.col("parent").alias("node")).agg(F.sum(pairs("size")).alias("_left"))
@@ -397,15 +397,15 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     """Two tables. ``members``: doc_id, key of every row. ``classes``: key,
     first (least doc_id), n_docs, group (root key), links and linked_docs."""
     docs = docs.select("doc_id", "text")
-    rows = docs.count()
-    found = materialise(sets(docs), "sets", 4 * rows)  # a quarter as many a file
+    rows = docs.count()  # hints are multiples of it: heavy rows get more files
+    found = materialise(sets(docs), "sets", 4 * rows)
     members = found.select("doc_id", "key")
     classes = found.where("key is not null").groupBy("key").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs")
     )
-    classes = materialise(classes, "classes", rows)
+    classes = materialise(classes, "classes", 4 * rows)
     tasks = _tasks(_buckets(classes), classes.select("key", "n", "sketch"))
-    tasks = materialise(_with_candidates(tasks, similarity), "candidates", 2 * RUNS * rows)
+    tasks = materialise(_with_candidates(tasks, similarity), "candidates", 8 * RUNS * rows)
     wanted = tasks.select("key").distinct().join(classes.select("key", "n_docs", F.col("first").alias("doc_id")), "key")
     wanted = materialise(wanted, "wanted", rows)
     # A null doc_id names no row to fetch; such classes are fetched by key.
@@ -417,7 +417,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
         text = text.unionByName(_shingles_by_key(docs.where("doc_id is null"), by_key))
     text = text.dropDuplicates(["key"])
     full = tasks.join(text, "key").join(wanted.select("key", "n_docs"), "key")
-    links = materialise(_verified(full, similarity), "links", 2 * RUNS * rows)
+    links = materialise(_verified(full, similarity), "links", 8 * RUNS * rows)
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     sums = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
     out = (
