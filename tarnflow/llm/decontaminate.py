@@ -137,21 +137,22 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def load_indexes(benchmark: DataFrame, n: int = N_GRAM, most: int = MAX_INDEX_WORDS) -> list[BenchmarkIndex]:
-    """Indexes of at most ``most`` words together holding the whole benchmark.
-    The benchmark is the stated query set; its size is checked here."""
+def load_indexes(benchmark: DataFrame, n: int = N_GRAM, most: int = MAX_INDEX_WORDS) -> Iterator[BenchmarkIndex]:
+    """Indexes of at most ``most`` words together holding the whole benchmark,
+    one after the other: the driver holds two at most. The benchmark is the
+    stated query set; its size is checked here."""
     rows = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t")
     ).where("t is not null")
-    indexes, part, size = [], [], 0
+    part, size = [], 0
     for r in rows.toLocalIterator():
         words = len(words_of(bytes(r.t)))
         if part and size + words > most:
-            indexes.append(BenchmarkIndex.build(part, n))
+            yield BenchmarkIndex.build(part, n)
             part, size = [], 0
         part.append((r.i, bytes(r.t)))
         size += words
-    return [*indexes, BenchmarkIndex.build(part, n)]
+    yield BenchmarkIndex.build(part, n)
 
 
 def _pass(texts: list[bytes], index: BenchmarkIndex, before: list[tuple[bytes, list[str]]] | None) -> Scan:
@@ -172,11 +173,13 @@ def _run(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema) -> DataF
     spark = docs.sparkSession
     indexes = load_indexes(benchmark, n)
     at, width, hidden = docs.columns.index("text"), len(docs.columns), None
+    index, first = next(indexes), True
 
-    for k, index in enumerate(indexes):
-        shared, last = spark.sparkContext.broadcast(index), k == len(indexes) - 1
+    while True:
+        following = next(indexes, None)
+        shared, last = spark.sparkContext.broadcast(index), following is None
 
-        def run(batches, shared=shared, last=last, first=k == 0) -> Iterator[pa.RecordBatch]:
+        def run(batches, shared=shared, last=last, first=first) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo, hi, texts in text_parts(b.column(at)):
                     part = b.slice(lo, hi - lo)
@@ -202,6 +205,8 @@ def _run(docs: DataFrame, benchmark: DataFrame, n: int, finish, schema) -> DataF
                 [*docs.schema.fields, T.StructField(hidden[0], T.BinaryType()), T.StructField(hidden[1], T.ArrayType(T.StringType()))]
             )
         docs = materialise(docs.mapInArrow(run, kept), "benchmark-pass")
+        shared.destroy()
+        index, first = following, False
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:
@@ -247,7 +252,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", n
 
     ``drop`` removes contaminated rows and leaves the others as they are;
     ``cut`` keeps every row and removes the hit spans from its text. Rows whose
-    text is null or has no words stay. The order of columns is kept.
+    text is null or has no words stay, as do all with an empty benchmark.
+    Repeated rows are judged each, long texts whole; the order of columns, which
+    may have any names, is kept; an empty table stays empty.
     """
     if action not in ("drop", "cut"):
         raise ValueError(f"unknown action {action!r}")
