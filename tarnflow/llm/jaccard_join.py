@@ -398,7 +398,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
     first (least doc_id), n_docs, group (root key), links and linked_docs."""
     docs = docs.select("doc_id", "text")
     rows = docs.count()  # hints are multiples of it: heavy rows get more files
-    found = materialise(sets(docs), "sets", 4 * rows)
+    found = materialise(sets(docs), "sets", 40 * rows)
     members = found.select("doc_id", "key")
     classes = found.where("key is not null").groupBy("key").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_docs")

@@ -189,7 +189,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     """Pieces of ``docs`` (see ``pieces``) with their sequence_id and offset.
     An empty table packs into none."""
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int")
-    return place(materialise(pieces(docs, capacity, tokenizer, with_ids).withColumn("_spread", spread), "pieces", 8 * docs.count()), capacity)
+    return place(materialise(pieces(docs, capacity, tokenizer, with_ids).withColumn("_spread", spread), "pieces", 40 * docs.count()), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
