@@ -62,12 +62,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-#: A global rank is dealt out in ranges of about this many rows, 64 at most.
+#: A global rank is dealt out in ranges of about this many rows, RANGES at most.
+#: Bounds are looked up in two steps, FAN of them at a time.
 RANGE_ROWS = 1_000_000
-RANGES = 64
+RANGES = 1024
+FAN = 32
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str, tie: str, stored: DataFrame | None = None) -> tuple[DataFrame, int]:
+def global_rank(df: DataFrame, order: list[Column], name: str, tie: str, stored: DataFrame | None = None, range_rows: int | None = None) -> tuple[DataFrame, int]:
     """(``df`` with row numbers from 1 over the whole table, its rows), without a
     one-task sort: rows go to ranges between sampled boundaries, ranges are
     counted, and a row's rank is its place in its range after the rows of all
@@ -76,15 +78,20 @@ def global_rank(df: DataFrame, order: list[Column], name: str, tie: str, stored:
     a stored table with the same rows, where given."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     source = (df if stored is None else stored).select(key.alias("_key"), F.col(tie).alias("_tie"))
-    ranges = min(RANGES, -(-source.count() // RANGE_ROWS))
+    ranges = min(RANGES, -(-source.count() // (range_rows or RANGE_ROWS)))
     bounds = []
     if ranges > 1:
         sample = sorted(r[0] for r in source.orderBy(F.xxhash64("_tie"), "_tie").limit(20 * ranges).select("_key").collect())
         bounds = [sample[k] for k in range(0, len(sample), max(1, len(sample) // ranges))][1:]
     place = F.lit(0)
     if bounds:
-        below = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, source.schema["_key"].dataType.fields)]) for b in bounds])
-        place = F.size(F.filter(below, lambda b: b <= F.col("_key")))
+        fields = source.schema["_key"].dataType.fields
+        listed = lambda some: F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, fields)]) for b in some])
+        upto = lambda some: F.size(F.filter(some, lambda b: b <= F.col("_key")))
+        fans = [bounds[k : k + FAN] for k in range(0, len(bounds), FAN)]
+        fan = upto(listed([x[0] for x in fans]))
+        inside = F.element_at(F.array(*[listed(x) for x in fans]), F.greatest(fan, F.lit(1)))
+        place = F.when(fan == 0, 0).otherwise((fan - 1) * FAN + upto(inside))
     counts = {r[0]: r[1] for r in source.groupBy(place.alias("_range")).count().collect()}  # a row a range
     before, total = [], 0
     for k in range(len(bounds) + 1):

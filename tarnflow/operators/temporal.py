@@ -83,22 +83,35 @@ def interval_join(fact: DataFrame, dim: DataFrame, keys: list[str], at: str, sta
     return fact.join(versions, condition, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def asof_join(fact: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str) -> DataFrame:
+def asof_join(fact: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, period_days: int | None = None) -> DataFrame:
     """Left, backward, inclusive as-of join: facts and versions are sorted
     together by key and time, and a fact has the last version before it. One
     exchange, one sort, and a time that grows with the rows of a key, not with
     its facts times its versions. Versions are unique on (keys, since); null keys
-    and times match nothing."""
+    and times match nothing. With ``period_days`` (dates and timestamps) a hot
+    key's facts are dealt out by period, to each of which every version that
+    holds in it is copied."""
     own = [c for c in versions.columns if c not in keys]
-    key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    key = [F.col(k).alias(n) for k, n in zip(keys, names)]
     known = versions.where(F.col(since).isNotNull()).select(*key, F.col(since).alias("_at"), F.lit(0).alias("_is_fact"), F.struct(*own).alias("_version"))
     time = known.schema["_at"].dataType
     facts = fact.select(*key, F.col(at).cast(time).alias("_at"), F.lit(1).alias("_is_fact"), F.struct("*").alias("_fact"))
-    both = facts.unionByName(known, allowMissingColumns=True)
-    upto = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", "_is_fact").rowsBetween(Window.unboundedPreceding, 0)
+    period = F.lit(0)
+    if period_days:
+        number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / period_days).cast("int")
+        first, last = facts.agg(F.min(number(F.col("_at"))), F.max(number(F.col("_at")))).first()
+        period, first, last = number(F.col("_at")), F.lit(first).cast("int"), F.lit(last).cast("int")
+        until = F.lead("_at").over(Window.partitionBy(*names).orderBy("_at"))
+        known = known.withColumn("_lo", F.greatest(period, first)).withColumn("_hi", F.least(F.coalesce(number(until), last), last))
+        known = known.where("_lo <= _hi").withColumn("_period", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    else:
+        known = known.withColumn("_period", period)
+    both = facts.withColumn("_period", period).unionByName(known, allowMissingColumns=True)
+    upto = Window.partitionBy(*names, "_period").orderBy("_at", "_is_fact").rowsBetween(Window.unboundedPreceding, 0)
     usable = F.lit(True)
-    for i in range(len(keys)):
-        usable = usable & F.col(f"_k{i}").isNotNull()
+    for n in names:
+        usable = usable & F.col(n).isNotNull()
     found = both.withColumn("_version", F.last("_version", ignorenulls=True).over(upto)).where("_is_fact = 1")
     found = found.select("_fact", F.when(usable, F.col("_version")).alias("_version"))
     return found.select("_fact.*", *[F.col("_version")[c].alias(c) for c in own])

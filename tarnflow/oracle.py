@@ -193,6 +193,7 @@ FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """,
     "versions_histogram": f"SELECT versions, count(*) AS customers FROM (SELECT count(*) AS versions FROM ({_VERSIONS}) GROUP BY customer_id) GROUP BY versions",
     "multi_version_keys": f"SELECT customer_id, count(*) AS versions, count(*) FILTER (is_current) AS open_versions FROM ({_VERSIONS}) GROUP BY customer_id HAVING count(*) > 1",
+    "orders_ranked": "SELECT o_orderkey AS order_id, o_totalprice AS total, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rank FROM orders",
     "price_band_distribution": """
 SELECT CASE WHEN p < 50 THEN 'BUDGET' WHEN p < 200 THEN 'MID' ELSE 'PREMIUM' END AS price_band, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS revenue
 FROM (SELECT l_extendedprice / l_quantity / 5 AS p, l_extendedprice FROM lineitem) GROUP BY 1

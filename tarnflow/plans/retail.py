@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.exprs import email_hash, margin_pct, opt_col, phone_hash, price_band
 from ..operators.rows import explode_items, latest_by, split_rejects
-from ..operators.temporal import asof_join, dim_date, interval_join, scd2_apply, scd2_initial
+from ..operators.temporal import asof_join, dim_date, interval_join, scd2_apply, scd2_changes, scd2_initial
+from ..session import stored
 from ..sources.table import SnapshotTable
 from . import marts
 
@@ -110,7 +111,22 @@ def fact_sales(lines: DataFrame, orders: DataFrame, customers: DataFrame, produc
         "product_id", F.col("last_updated").alias("_since"), "product_name", "category", "subcategory", "brand",
         *[F.col(c).alias(f"{c}_at_order_time") for c in ("price", "cost", "margin_pct", "price_band")],
     )
-    return asof_join(with_customer, prices, ["product_id"], "date_key", "_since").drop("_since").withColumn("_gold_processed_at", F.current_timestamp())
+    return asof_join(with_customer, prices, ["product_id"], "date_key", "_since", period_days=90).drop("_since").withColumn("_gold_processed_at", F.current_timestamp())
+
+
+def apply_snapshot(t: SnapshotTable, snapshot: DataFrame, keys: list[str], tracked: list[str], seq: str, inputs: list[str] | None = None) -> dict[str, int]:
+    """One snapshot applied to a table of versions: only files that hold an open
+    version which it closes are rewritten; without changes there is no commit."""
+    changes = stored(scd2_changes(t.read(), snapshot, keys, tracked), "changes")
+    made = {r[0]: r[1] for r in changes.groupBy("_is_new").count().collect()}
+    if not made:
+        return {"inserted": 0, "updated": 0}
+    closing = changes.where("not _is_new").select(*keys)
+    touched = t.files_with(t.read().where("is_current"), closing, keys) if made.get(False) else []
+    rows = scd2_apply(t.read_files(touched), changes.drop("_is_new", "_row_hash"), keys, tracked, seq)
+    metrics = {"inserted": made.get(True, 0), "updated": made.get(False, 0)}
+    t.replace(touched, rows, "merge", inputs, metrics)
+    return metrics
 
 
 def pii_vault(bronze: DataFrame) -> DataFrame:
@@ -148,8 +164,7 @@ class Warehouse:
         dates = [r[0] for r in source.where(F.col("_snapshot_date") > F.lit(last)).select("_snapshot_date").distinct().orderBy("_snapshot_date").collect()]
         before = t.read().count()
         for d in dates:  # one commit a snapshot date
-            new = scd2_apply(t.read(), source.where(F.col("_snapshot_date") == F.lit(d)), ["customer_id"], TRACKED, "_snapshot_date")
-            t.overwrite(new, inputs=["bronze.customers_raw"])
+            apply_snapshot(t, source.where(F.col("_snapshot_date") == F.lit(d)), ["customer_id"], TRACKED, "_snapshot_date", ["bronze.customers_raw"])
         return {"versions": t.read().count() - before}
 
     def build_orders(self, bronze: DataFrame, as_of=None) -> dict[str, int]:

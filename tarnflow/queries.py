@@ -138,7 +138,7 @@ def scd2_incremental(spark, sf_dir):
     table.overwrite(T.scd2_initial(seen.where(F.col("seen") < cut), ["customer_id"], ["priority"], "seen"))
     later = seen.where(F.col("seen") >= cut)
     first = R.latest_by(later.withColumn("_back", -F.datediff("seen", cut)), ["customer_id"], ["_back"]).drop("_back")
-    table.overwrite(T.scd2_apply(table.read(), first, ["customer_id"], ["priority"], "seen"))
+    retail.apply_snapshot(table, first, ["customer_id"], ["priority"], "seen")
     return version_columns(table.read())
 
 
@@ -313,6 +313,13 @@ def multi_version_keys(spark, sf_dir):
     return versions(spark, sf_dir).groupBy("customer_id").agg(F.count(F.lit(1)).alias("versions"), F.count_if("is_current").alias("open_versions")).where("versions > 1")
 
 
+@query
+def orders_ranked(spark, sf_dir):
+    """All orders by total, ranked in ranges of some thousand rows."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"))
+    return R.global_rank(o, [F.col("total"), F.col("order_id")], "rank", "order_id", range_rows=400)[0]
+
+
 @query
 def price_band_distribution(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").select(X.price_band(F.col("l_extendedprice") / F.col("l_quantity") / 5).alias("price_band"), "l_extendedprice")

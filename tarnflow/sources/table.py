@@ -232,6 +232,23 @@ class SnapshotTable:
         names = {f.rpartition("/")[2] for f in touched}
         return [f for f in files if f.rpartition("/")[2] in names], [f for f in files if f.rpartition("/")[2] not in names]
 
+    def read_files(self, files: list[str]) -> DataFrame:
+        return self._read(self.entry(), files)
+
+    def files_with(self, rows: DataFrame, wanted: DataFrame, keys: list[str]) -> list[str]:
+        """Names of the files that hold those of ``rows`` (a read of this table)
+        whose keys are in ``wanted``."""
+        found = rows.select(*keys, F.col("_metadata.file_path").alias("_file")).join(wanted, keys, "left_semi").select("_file").distinct()
+        touched, _ = self._split(self.entry().files, [r[0] for r in found.collect()])  # a row a file
+        return touched
+
+    def replace(self, touched: list[str], df: DataFrame, operation: str = "replace", inputs: list[str] | None = None, metrics: dict[str, int] | None = None) -> Entry:
+        """The table with the rows of some of its files replaced by ``df``."""
+        e = self._next(operation, inputs=inputs or [], metrics=metrics or {})
+        _, rest = self._split(e.files, touched)
+        e.files = [*rest, *self._write(self._checked(df, e.constraints))]
+        return self._commit(e)
+
     def merge_insert_only(self, source: DataFrame, keys: list[str]) -> dict[str, int]:
         """Append rows whose keys (null-safely) the table lacks; never update."""
         e = self._next("insert")

@@ -90,3 +90,38 @@ def test_metadata_survives_commits(spark, table):
     table.overwrite(frame(spark, *BASE[:1]))
     e = table.entry()
     assert (e.comment, e.tags, e.column_tags, e.properties) == ("things", {"layer": "silver"}, {"v": {"pii": "name"}}, {"owner": "me"})
+
+
+def test_a_snapshot_rewrites_touched_files_only(spark, tmp_path):
+    from tarnflow.operators import temporal as T
+    from tarnflow.plans import retail
+
+    day = lambda x: F.lit(x).cast("date")
+    t = SnapshotTable(spark, f"file://{tmp_path}/versions")
+    first = spark.range(1000).select("id", F.lit("a").alias("v"), day("2025-01-01").alias("seq"))
+    t.overwrite(T.scd2_initial(first, ["id"], ["v"], "seq"))
+    t.compact(4, cluster_by=["id"])
+    before = set(t.entry().files)
+    assert len(before) == 4
+    second = spark.range(1005).select("id", F.when(F.col("id") == 7, "b").otherwise("a").alias("v"), day("2025-01-08").alias("seq"))
+    assert retail.apply_snapshot(t, second, ["id"], ["v"], "seq") == {"inserted": 5, "updated": 1}
+    assert len(before - set(t.entry().files)) == 1
+    assert t.read().count() == 1006 and t.read().where("is_current").count() == 1005 and t.read().select("version_id").distinct().count() == 1006
+    version = t.entry().version
+    assert retail.apply_snapshot(t, second.withColumn("seq", day("2025-01-15")), ["id"], ["v"], "seq") == {"inserted": 0, "updated": 0} and t.entry().version == version
+
+
+def test_conflict_batches_and_vacuum(spark, tmp_path):
+    t = SnapshotTable(spark, f"file://{tmp_path}/t")
+    t.overwrite(spark.range(3))
+    stale = t._next("append")
+    t.append(spark.range(2), batch=("q", 0))
+    with pytest.raises(CommitConflict):
+        t._commit(stale)
+    assert t.append(spark.range(2), batch=("q", 0)) is None and t.append(spark.range(2), batch=("q", 1)) is not None
+    assert t.append(spark.range(2), batch=("other", 0)) is not None and t.read().count() == 9
+    files = t.entry().files
+    t._write(spark.range(5))
+    assert len(t.vacuum()) == 1 and t.entry().files == files and t.read().count() == 9 and t.vacuum() == []
+    t.merge_insert_only(spark.range(2), ["id"])
+    assert t.vacuum() == []

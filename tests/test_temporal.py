@@ -64,12 +64,17 @@ def test_interval_join_on_the_days_of_a_downgrade(spark):
     assert got["other", D("2025-01-01")] is None
 
 
-def test_asof_join_is_backward_inclusive_and_keeps_rows(spark):
+@pytest.mark.parametrize("period", [None, 1, 3, 400])
+def test_asof_join_is_backward_inclusive_and_keeps_rows(spark, period):
     prices = spark.createDataFrame([("p", D("2025-01-02"), 1), ("p", D("2025-01-05"), 2)], "k string, since date, price int")
     days = ["2025-01-01", "2025-01-02", "2025-01-04", "2025-01-05", "2025-02-01"]
     fact = spark.createDataFrame([("p", D(x)) for x in days + days], "k string, at date")
-    got = sorted((r["at"], r.price or 0) for r in T.asof_join(fact, prices, ["k"], "at", "since").collect())
+    got = sorted((r["at"], r.price or 0) for r in T.asof_join(fact, prices, ["k"], "at", "since", period).collect())
     assert [p for _, p in got] == [0, 0, 1, 1, 1, 1, 2, 2, 2, 2]
+    odd = spark.createDataFrame([(None, D("2025-01-03")), ("p", None), ("q", D("2025-01-03"))], "k string, at date")
+    more = prices.unionByName(spark.createDataFrame([(None, D("2025-01-01"), 3), ("q", None, 4)], "k string, since date, price int"))
+    assert [r.price for r in T.asof_join(odd, more, ["k"], "at", "since", period).collect()] == [None] * 3
+    assert T.asof_join(fact, prices.limit(0), ["k"], "at", "since", period).count() == 10 and T.asof_join(fact.limit(0), prices, ["k"], "at", "since", period).count() == 0
 
 
 def test_apply_changes_updates_untracked_columns_in_place(spark):
