@@ -236,6 +236,9 @@ SELECT 0 AS version, 'overwrite' AS operation, NULL AS inserted, NULL AS updated
     "bronze_file_counts": "SELECT 'day' || (event_id % 3) AS landing, count(*) AS rows FROM events GROUP BY ALL",
     "stream_ingest_continuous": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_schema_evolution": "SELECT event_id, event_type, value, CASE WHEN event_id % 2 = 1 THEN 'D' || event_id END AS discount_code FROM events",
+    "stream_apply_changes": f"""
+SELECT customer_id, priority, effective_from AS start_at, lead(effective_from) OVER (PARTITION BY customer_id ORDER BY effective_from) AS end_at FROM ({_VERSIONS})
+""",
     "stream_dedup_watermark": "SELECT event_id, user_id, event_type FROM events",
     "stream_window_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "rescued_records": """
@@ -243,6 +246,15 @@ SELECT kind, count(*) AS records FROM (SELECT CASE WHEN event_id % 100 = 3 THEN
 """,
     "pii_hash": f"SELECT customer_id, sha256(lower(email)) AS email_hash, sha256(regexp_replace(phone, '[^0-9]', '', 'g')) AS phone_hash FROM ({_CONTACTS})",
     "masked_view": f"SELECT customer_id, {_MASKED}, country FROM ({_CONTACTS})",
+    "bound_masks_and_filter": f"""
+SELECT customer_id, CASE WHEN email IS NOT NULL THEN left(email, 4) || '****@****' END AS email,
+  CASE WHEN phone IS NOT NULL THEN '***-***-' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 4) END AS phone, date_of_birth, country
+FROM ({_CONTACTS}) WHERE country IN ('DE', 'FR', 'IT', 'ES', 'NL', 'BE')
+""",
+    "typed_table": f"""
+SELECT c AS "column", t AS type, n AS nullable, x AS comment, (SELECT count(*) FROM ({_CONTACTS}) WHERE email IS NOT NULL) AS rows, true AS refused
+FROM (VALUES ('customer_id', 'bigint', false, NULL), ('email', 'string', false, 'clear text'), ('phone', 'string', true, NULL)) AS v(c, t, n, x)
+""",
     "masked_by_sql_functions": f"SELECT customer_id, {_MASKED} FROM ({_CONTACTS})",
     "row_filter_region": f"""
 SELECT seen_by, country, count(*) AS customers FROM (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mask_dob, mask_email, mask_phone
+from ..functions.exprs import mask_dob, mask_email, mask_phone, region_filter
 from ..sources.table import SnapshotTable
 
 Mask = Callable[[Column, bool], Column]
@@ -42,6 +42,36 @@ def create_mask_functions(spark: SparkSession, groups: set[str], privileged: str
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x {kind}) RETURNS {kind} RETURN {body.format(c=clear)}")
 
 
+#: Row filters that can be bound to a table, by name.
+ROW_FILTERS: dict[str, Callable[[Column, set[str]], Column]] = {"region": region_filter}
+
+
+def bind_mask(table: SnapshotTable, column: str, mask: str | None) -> None:
+    """Store a mask with a column of a table; None drops it."""
+    if mask is not None and mask not in MASKS:
+        raise ValueError(f"unknown mask {mask!r}")
+    table.annotate(column_tags={column: {"mask": mask}})
+
+
+def bind_row_filter(table: SnapshotTable, name: str | None, column: str | None = None) -> None:
+    """Store a row filter over a column with a table; None drops it."""
+    if name is not None and name not in ROW_FILTERS:
+        raise ValueError(f"unknown row filter {name!r}")
+    table.annotate(row_filter=None if name is None else f"{name}:{column}")
+
+
+def read_secured(table: SnapshotTable, groups: set[str]) -> DataFrame:
+    """The table as members of ``groups`` see it, by the masks and the row filter
+    that are stored with it."""
+    e = table.entry()
+    masks = {c: x["mask"] for c, x in e.column_tags.items() if "mask" in x}
+    rule = None
+    if bound := e.properties.get("row_filter"):
+        name, _, column = bound.partition(":")
+        rule = lambda g: ROW_FILTERS[name](F.col(column), g)
+    return secure_view(table.read(), groups, masks, rule)
+
+
 def grants_matrix(spark: SparkSession) -> DataFrame:
     rows = [(g, layer, GRANTS[g].get(layer, "NONE")) for g in sorted(GRANTS) for layer in LAYERS]
     return spark.createDataFrame(rows, "role string, layer string, privilege string")

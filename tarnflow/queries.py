@@ -504,6 +504,20 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(e.schema).parquet(source)
 
 
+@query
+def stream_apply_changes(spark, sf_dir):
+    """A change stream, in two batches and the later half of the keys first,
+    into a table of versions."""
+    seen = observations(spark, sf_dir)
+    base = work_path(spark, "cdc")
+    target, log = SnapshotTable(spark, f"{base}/versions"), SnapshotTable(spark, f"{base}/log")
+    for k, part in enumerate((seen.where("month(seen) > 6"), seen.where("month(seen) <= 6"))):
+        part.write.parquet(f"{base}/landing/part{k}")
+        stream = spark.readStream.schema(seen.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landing")
+        streaming.apply_changes_into(stream, target, log, ["customer_id"], "seen", ["priority"], f"{base}/checkpoint").awaitTermination()
+    return target.read().select("customer_id", "priority", F.col("__START_AT").alias("start_at"), F.col("__END_AT").alias("end_at"))
+
+
 @query
 def stream_dedup_watermark(spark, sf_dir):
     """Every event twice, once within the watermark."""
@@ -560,6 +574,37 @@ def masked_view(spark, sf_dir):
     return G.secure_view(contacts(spark, sf_dir), {"analysts", "global"}, {"email": "email", "phone": "phone", "date_of_birth": "dob"}, lambda g: X.region_filter(F.col("country"), g))
 
 
+@query
+def bound_masks_and_filter(spark, sf_dir):
+    """What an EU analyst reads from a table whose masks and row filter are
+    stored with it; one more mask is bound and dropped again."""
+    table = SnapshotTable(spark, work_path(spark, "secured"))
+    table.overwrite(contacts(spark, sf_dir))
+    for column, mask in (("email", "email"), ("phone", "phone"), ("date_of_birth", "dob")):
+        G.bind_mask(table, column, mask)
+    G.bind_mask(table, "date_of_birth", None)
+    G.bind_row_filter(table, "region", "country")
+    return G.read_secured(table, {"analysts", "eu"})
+
+
+@query
+def typed_table(spark, sf_dir):
+    """A table created with types, columns that refuse nulls, and comments: its
+    columns, and the rows that SQL finds in it after good and bad appends."""
+    table = SnapshotTable(spark, work_path(spark, "typed"))
+    table.create("customer_id bigint not null, email string not null, phone string", "who is who", {"email": "clear text"})
+    people = contacts(spark, sf_dir).select("customer_id", "email", "phone")
+    table.append(people.where("email is not null"))
+    try:
+        table.append(people)
+        refused = False
+    except Exception as e:
+        refused = "email_not_null" in str(e)
+    table.register("typed_people")
+    rows = spark.sql("SELECT count(*) FROM typed_people").first()[0]
+    return table.describe().withColumns({"rows": F.lit(rows), "refused": F.lit(refused)})
+
+
 @query
 def masked_by_sql_functions(spark, sf_dir):
     G.create_mask_functions(spark, {"analysts"})

@@ -298,11 +298,39 @@ class SnapshotTable:
         return self._commit(e)
 
     def annotate(self, comment: str | None = None, tags: dict[str, str] | None = None, column_tags: dict[str, dict[str, str]] | None = None, **properties: str) -> Entry:
+        """Add tags, column tags and properties; a value of None removes one."""
         e = self._next("annotate")
+        held = lambda old, new: {k: v for k, v in (old | new).items() if v is not None}
         e.comment = e.comment if comment is None else comment
-        e.tags, e.properties, e.column_tags = e.tags | (tags or {}), e.properties | properties, e.column_tags | (column_tags or {})
+        e.tags, e.properties = held(e.tags, tags or {}), held(e.properties, properties)
+        e.column_tags = {c: held(e.column_tags.get(c, {}), (column_tags or {}).get(c, {})) for c in e.column_tags.keys() | (column_tags or {}).keys()}
         return self._commit(e)
 
+    def create(self, schema: T.StructType | str, comment: str = "", column_comments: dict[str, str] | None = None) -> Entry | None:
+        """An empty table of typed columns if there is none: those that are not
+        nullable refuse nulls from then on; columns may have comments."""
+        if self.exists():
+            return None
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        e = self._next("create", comment=comment)
+        e.constraints = {f"{f.name}_not_null": f"`{f.name}` is not null" for f in schema.fields if not f.nullable}
+        e.column_tags = {c: {"comment": text} for c, text in (column_comments or {}).items()}
+        e.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).json()
+        return self._commit(e)
+
+    def describe(self) -> DataFrame:
+        """column, type, nullable and comment, in the table's order."""
+        e = self.entry()
+        rows = [
+            (f.name, f.dataType.simpleString(), f"{f.name}_not_null" not in e.constraints, e.column_tags.get(f.name, {}).get("comment"))
+            for f in T.StructType.fromJson(json.loads(e.schema)).fields
+        ]
+        return self.spark.createDataFrame(rows, "column string, type string, nullable boolean, comment string")
+
+    def register(self, name: str, version: int | None = None) -> None:
+        """The table, or a version of it, as a view that SQL can name."""
+        self.read(version).createOrReplaceTempView(name)
+
     def drop(self) -> None:
         self._fs().delete(self._path(), True)
 

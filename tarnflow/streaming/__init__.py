@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.temporal import apply_changes
+from ..session import stored
 from ..sources.table import SnapshotTable
 
 
@@ -41,6 +43,32 @@ def ingest(stream: DataFrame, table: SnapshotTable, checkpoint: str, continuous:
     return table.rows_in([f for f in table.entry().files if f not in before]) if table.exists() else 0
 
 
+def apply_changes_into(
+    stream: DataFrame, target: SnapshotTable, log: SnapshotTable, keys: list[str], sequence_by: str, track: list[str], checkpoint: str, trigger: str = "availableNow", every: str | None = None
+) -> StreamingQuery:
+    """Keep ``target`` at the versions (``operators.temporal.apply_changes``) of a
+    change stream. Changes are kept in ``log``; a batch rebuilds the versions of
+    its keys, late changes included, and rewrites the files that hold them. A
+    batch that is replayed changes nothing; of equal (keys, sequence) one counts."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        log.append(batch, merge_schema=True, batch=(checkpoint, number))
+        touched = stored(batch.select(*keys).distinct(), "touched")
+        changes = log.read().join(touched, keys, "left_semi").dropDuplicates([*keys, sequence_by])
+        rows = apply_changes(changes, keys, sequence_by, track)
+        if not target.exists():
+            target.overwrite(rows)
+            return
+        files = target.files_with(target.read(), touched, keys)
+        others = target.read_files(files).join(touched, keys, "left_anti")
+        target.replace(files, others.unionByName(rows, allowMissingColumns=True), "apply_changes")
+
+    writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).outputMode("append")
+    return _triggered(writer, trigger, every).start()
+
+
 def dedup_within(stream: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """First rows by key, with state that the watermark bounds."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
