@@ -111,8 +111,9 @@ def file_stream(
     spark: SparkSession, path: str, fmt: str, location: str, mode: str = "addNewColumns", hints: str | None = None, extra_options: dict | None = None
 ) -> DataFrame:
     """Stream of the files under ``path``, each once per checkpoint, with the
-    logged schema and a column of rescued data: malformed records whole, and, in
-    mode rescue, fields that the schema lacks."""
+    logged schema and a column of rescued data: malformed JSON and CSV records
+    whole (a CSV record with more fields than the schema is one), and, in mode
+    rescue, fields of JSON and Parquet records that the schema lacks."""
     options = dict(extra_options or {})
     schema = pinned_schema(spark, path, fmt, location, mode, hints, **options)
     if fmt == "json" and mode == "rescue":
@@ -125,7 +126,16 @@ def file_stream(
     if fmt in ("csv", "json"):
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RESCUED).schema(with_rescue)
         return reader.options(**options).load(path)
-    return reader.schema(schema).options(**options).load(path).withColumn(RESCUED, F.lit(None).cast("string"))
+    # A format with types of its own has no malformed records, but may have more
+    # columns than the log: in mode rescue their values are kept as JSON.
+    found = read_files(spark, path, fmt, **({"mergeSchema": "true"} | options)).schema.fields if mode == "rescue" else []
+    extra = [f for f in found if f.name not in schema.names]
+    rows = reader.schema(T.StructType([*schema.fields, *extra])).options(**options).load(path)
+    if not extra:
+        return rows.withColumn(RESCUED, F.lit(None).cast("string"))
+    names = [f.name for f in extra]
+    held = F.coalesce(*[F.when(F.col(f"`{n}`").isNotNull(), True) for n in names])
+    return rows.withColumn(RESCUED, F.when(held, F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))).drop(*names)
 
 
 def rescue_json(lines: DataFrame, schema: T.StructType) -> DataFrame:

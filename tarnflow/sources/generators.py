@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 #: Names and shares that the landed sources have.
 BASE_DATE = "2025-01-01"
 STATUSES = (("PENDING", 0.05), ("CONFIRMED", 0.15), ("SHIPPED", 0.25), ("DELIVERED", 0.45), ("CANCELLED", 0.07), ("RETURNED", 0.03))
@@ -121,3 +123,25 @@ def json_lines(df: DataFrame, truncate_rate: float = 0.0) -> DataFrame:
     line = F.to_json(F.struct(*df.columns))
     cut = uniform("cut", line) < truncate_rate
     return df.select(F.when(cut, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+def land_day(spark: SparkSession, root: str, day: int, orders_per_batch: int = 500, clicks_per_batch: int = 2000, batches: int = 3) -> list[str]:
+    """Land a day's files below ``root``: batches of orders as JSON lines, the
+    products as CSV, on every seventh day the customers as Parquet, and twice as
+    many batches of clicks, one line in 1,000 cut. The folders written; landing a
+    day again writes the same files anew."""
+    made = []
+
+    def path(kind: str, name: str) -> str:
+        made.append(f"{root}/{kind}/{name}")
+        return made[-1]
+
+    for b in range(batches):
+        files.write_jsonl(orders(spark, day, orders_per_batch, b).coalesce(1), path("orders", f"day{day:03d}_batch{b:02d}"))
+    files.write_csv(products(spark, day).coalesce(1), path("products", f"day{day:03d}"))
+    if day % 7 == 0:
+        files.write_parquet_file(customers(spark, day), path("customers", f"week_{day // 7:03d}"))
+    for b in range(2 * batches):
+        lines = json_lines(clickstream(spark, day, clicks_per_batch, b), 0.001)
+        lines.coalesce(1).write.mode("overwrite").text(path("clickstream", f"day{day:03d}_batch{b:02d}"))
+    return made

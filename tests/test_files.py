@@ -93,3 +93,28 @@ def test_sinks_and_listing(spark, tmp_path):
     assert files.list_files(spark, f"file://{tmp_path}/pq").where("path like '%.parquet'").count() == 1
     files.reset_source(spark, f"file://{tmp_path}/csv")
     assert not (tmp_path / "csv").exists()
+
+
+def test_rescue_keeps_new_parquet_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    root = f"file://{tmp_path}"
+    spark.range(3).write.parquet(f"{root}/in/a")
+    files.pinned_schema(spark, f"{root}/in", "parquet", f"{root}/log")
+    spark.range(3, 5).withColumn("more", F.when(F.col("id") == 4, "x")).write.parquet(f"{root}/in/b")
+    stream = files.file_stream(spark, f"{root}/in", "parquet", f"{root}/log", mode="rescue")
+    q = stream.writeStream.format("memory").queryName("rescued_parquet").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.id, r[files.RESCUED]) for r in spark.table("rescued_parquet").collect()) == [(0, None), (1, None), (2, None), (3, None), (4, '{"more":"x"}')]
+
+
+def test_a_day_lands_and_is_read_back(spark, tmp_path):
+    from tarnflow.sources import generators
+
+    root = f"file://{tmp_path}"
+    made = generators.land_day(spark, root, 7, 40, 50)
+    assert len(made) == 3 + 1 + 1 + 6 and len(generators.land_day(spark, root, 8, 40, 50)) == 3 + 1 + 6
+    assert files.read_files(spark, f"{root}/orders", "json").where("order_id like 'ORD-7-%'").count() >= 120
+    assert files.read_files(spark, f"{root}/products", "csv").count() == 2000
+    assert files.read_files(spark, f"{root}/customers", "parquet").count() == 10_000
+    assert files.read_files(spark, f"{root}/clickstream", "text").count() == 2 * 6 * 50
