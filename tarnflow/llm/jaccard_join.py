@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, mix64, new_names, shingles_of, text_parts, trim, utf8
+from .common import bounded, materialise, mix64, new_names, shingles_of, text_parts, trim
 from .components import components
 
 SHINGLE = 5
@@ -432,10 +432,11 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[
 def _shingles_by_key(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingles_of(t, SHINGLE).tobytes() for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_hexdigest(x) for x in s], pa.string()), pa.array(s, pa.binary())], ["key", "shingles"]
-            )
+            for _, _, texts in text_parts(b.column(0)):
+                s = [shingles_of(t, SHINGLE).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh3_128_hexdigest(x) for x in s], pa.string()), pa.array(s, pa.binary())], ["key", "shingles"]
+                )
 
     return docs.select("text").mapInArrow(run, "key string, shingles binary").join(wanted, "key", "left_semi")
 
