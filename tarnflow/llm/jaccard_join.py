@@ -52,8 +52,8 @@ BLOCK_SHINGLES = 2_000_000
 #: Large buckets (some 40 bytes each) that may be broadcast.
 MAX_LARGE = 500_000
 #: Sketch agreement (of 128) below which a pair of similarity 0.8 does not fall
-#: but once in 30,000: the mean less four deviations.
-MARGIN = 4.0
+#: but once in 3 million: the mean less five deviations.
+MARGIN = 5.0
 
 _SEEDS = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _NAMES = ["key", "n", "sketch"]
