@@ -37,16 +37,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILE_ROWS = 200_000
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more partitions than they are worth:
+    a small table is not scattered over hundreds of files."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once, keeps the
     columns compressed and survives the loss of any executor. ``rows``: about so
-    many at most; a small table is then not scattered over hundreds of files.
+    many at most, see ``compact``.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = compact(df, rows)
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append(path)

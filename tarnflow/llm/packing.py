@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_parts
+from .common import materialise, text_parts, trim
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -142,6 +142,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                     columns.append(pa.array(parts, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        enc.rest()
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_parts
+from .common import bounded, materialise, text_parts
 from .line_rules import repeat_words
 
 #: The classifier is fitted on at most this many labelled documents, those with
@@ -159,14 +159,20 @@ def _strength(groups: DataFrame, within: float, n: str, rate: str, parent: str)
     return float(min(1e6, max(1.0, within / max(between, 1e-9))))
 
 
+def _once(table: DataFrame) -> DataFrame:
+    """A table of sites computed once: on the driver within the bound, stored
+    beyond it."""
+    few = bounded(table, MAX_SITES)
+    return materialise(table, "sites") if few is None else few
+
+
 def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
     """_host, _path, host_rate and path_rate (posterior means), one row a site.
     ``scored`` has the columns ``host`` and ``path`` and the logit _logit."""
     p = 1 / (1 + F.exp(-F.col("_logit")))
-    paths = materialise(
+    paths = _once(
         scored.select(_key(host).alias("_host"), _key(path).alias("_path"), p.alias("_p"))
         .groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")),
-        "sites",
     )
     r = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("m")).first()
     if not r.n:
@@ -190,10 +196,10 @@ def _with_posterior(scored: DataFrame, table: DataFrame, prior: float, host: str
     """``scored`` with host_rate, path_rate and the posterior _posterior. The
     site table is broadcast within its bound; beyond it both sides are salted,
     so that no host's documents meet in one task."""
-    table = materialise(table, "rates")
+    few = bounded(table, MAX_SITES)
     keyed = scored.withColumn("_host", _key(host)).withColumn("_path", _key(path))
-    if table.count() <= MAX_SITES:
-        joined = keyed.join(F.broadcast(table), ["_host", "_path"])
+    if few is not None:
+        joined = keyed.join(F.broadcast(few), ["_host", "_path"])
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         keyed = keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

@@ -107,6 +107,11 @@ class Encoder:
                 ids = b"".join(map(self.pieces.young.__getitem__, flat))
                 young.update(zip(some, ids.split(_STOP), strict=True))
 
+    def rest(self) -> None:
+        """Forget chunks, which are quickly put together again from pieces: an
+        idle worker then holds little."""
+        self.chunks = _Cache(self.chunks.most)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         self.chunks.age()
         split = [t.split() for t in texts]
