@@ -2,10 +2,10 @@
 
 Credentials that the base patterns label in the corpus are a sample of what
 secrets look like. A probabilistic automaton is inferred from each kind's sample
-(kinds with few values share one) and one from each shape of ordinary tokens:
-letters, digits, both. Every token of credential length is then scored by how
-much likelier it is under a credential's format than as ordinary text. Spans of
-the base patterns are always in.
+(for kinds with few values, one from all samples together) and one from each
+shape of ordinary tokens: letters, digits, both. Every token of credential length
+is then scored by how much likelier it is under a credential's format than as
+ordinary text. Spans of the base patterns are always in.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ KINDS = ("assign", "access", "hex")
 #: are inferred from: those with the least hashes, whatever the corpus size.
 #: Thresholds take all ordinary tokens.
 MAX_SAMPLE = 400
-#: Kinds with fewer values are too sparse for a format of their own: theirs are
-#: pooled, and what the pool's automaton finds is reported as this kind.
+#: Kinds with fewer values are too sparse for a format of their own: one automaton
+#: is inferred from the values of all kinds together, and what it finds is
+#: reported as the kind POOL.
 MIN_SAMPLE = 20
 POOL = "assign"
 #: Shapes of tokens (other characters beside them), and the share of the ordinary
@@ -126,15 +127,10 @@ class Scanner:
         for token in (*ordinary, *_FILLERS):
             by_shape[shape(token)].append(symbols(token))
         self.backgrounds = [Automaton(x, _SYMBOLS) for x in by_shape.values() if x]
-        self.formats, pool = {}, []
-        for k in KINDS:
-            values = labelled.get(k, [])
-            if len(values) >= MIN_SAMPLE:
-                self.formats[k] = Automaton([symbols(v) for v in values], _SYMBOLS)
-            else:
-                pool += values
-        if pool:
-            self.formats["pool"] = Automaton([symbols(v) for v in pool], _SYMBOLS)
+        known = {k: [symbols(v) for v in labelled.get(k, ())] for k in KINDS}
+        self.formats = {k: Automaton(x, _SYMBOLS) for k, x in known.items() if len(x) >= MIN_SAMPLE}
+        if any(0 < len(x) < MIN_SAMPLE for x in known.values()):
+            self.formats["pool"] = Automaton([s for x in known.values() for s in x], _SYMBOLS)
         self._young, self._old = {}, {}
         self.settle(self.histogram(ordinary))
 

@@ -148,6 +148,9 @@ def test_sparse_kinds_share_one_automaton(spark, sf_dir):
     s = S.Scanner({"hex": hexes(5), "access": keys(4)}, [])
     assert set(s.formats) == {"pool"} and s.judge(hexes(1, 23, seed=8)[0] + "0") == S.POOL
     assert S.Scanner({}, []).formats == {}
+    # One odd value does not make a format of its own: capitals stay words.
+    s = S.Scanner({"hex": hexes(100), "assign": [hexes(1, seed=4)[0].upper()]}, ["thander", "nderst", "ANDERERERBLE"])
+    assert set(s.formats) == {"hex", "pool"} and [s.judge(x) for x in ("QUEMENTELLE", "LAAITIONELLEELLE", "ONANLYSHBLEONND")] == [None] * 3
     docs = spark.createDataFrame([(k, f"the token = {v} here") for k, v in enumerate(hexes(3))], "doc_id long, text string")
     assert S.train(docs).formats
 
