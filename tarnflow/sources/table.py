@@ -203,6 +203,8 @@ class SnapshotTable:
         e = self._next("merge")
         target = self._read(e)
         old = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.struct(*compare).alias("_old"), F.col("_metadata.file_path").alias("_file"))
+        # Never broadcast: files of a few MB may be hundreds in the driver's memory.
+        old = old.hint("merge")
         match = F.lit(True)
         for k in keys:
             match = match & (F.col(k) == F.col(f"_t_{k}"))
@@ -221,7 +223,7 @@ class SnapshotTable:
         rows = delta.select(*target.columns)
         touched, rest = self._split(e.files, files)
         if touched:
-            out = self._read(e, touched).join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(rows)
+            out = self._read(e, touched).join(rows.select(*keys).hint("merge"), keys, "left_anti").select(*target.columns).unionByName(rows)
         else:
             out = rows
         e.metrics, e.files = metrics, [*rest, *self._write(self._checked(out, e.constraints))]

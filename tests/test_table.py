@@ -36,6 +36,18 @@ def test_upsert_touches_only_differences(spark, table):
     assert rows(table.read(0)) == sorted(BASE, key=str)
 
 
+def test_upsert_broadcasts_no_table(spark, table, monkeypatch):
+    # By their compressed files both sides would be small enough.
+    plans, write = [], table._write
+    monkeypatch.setattr(table, "_write", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    base = spark.range(20_000).selectExpr("cast(id as int) k", "'v' v", "repeat('w', 100) w", "0 at")
+    table.overwrite(base)
+    source = base.selectExpr("case when k % 10 = 0 then k + 20000 else k end k", "if(k % 10 = 1, 'new', v) v", "w", "1 at")
+    assert table.merge_upsert(source, ["k"], ["v", "w"]) == {"inserted": 2000, "updated": 2000}
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
+    assert table.read().groupBy("at").count().orderBy("at").collect() == [(0, 18_000), (1, 4000)]
+
+
 def test_change_feed_and_history(spark, table):
     table.overwrite(frame(spark, *BASE), inputs=["raw"])
     table.merge_upsert(frame(spark, *NEW), ["k"], ["v", "w"])
