@@ -31,6 +31,28 @@ def test_cached_encoder_is_the_tokenizer(tokenizer):
         assert np.frombuffer(e.encode([t.encode()])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_many_texts_at_once_are_cut_as_the_tokenizer_cuts(tokenizer):
+    rng, e = random.Random(4), tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER), pieces=300)
+    parts = [chr(c) for c in range(0x260)] + ["'s", "'RE", "'ll", "'Ve", "'", "''s", " ", "  ", "漢", "😀", "’", "́", "İ", "a", "B", "1", "<|endoftext|>", "<|ENDOFTEXT|>"] * 8
+    for _ in range(10):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    broken = [b"abc\xff d\xc3", b"\xe4 x\xc2", b"", b"ok"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(broken)] == [tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+    assert e.encode([]) == [] and e.encode([b"", b" \n", "\xa0".encode()]) == [b"", b"", b""]
+
+
+def test_known_words_beside_other_signs_are_not_learned_again(tokenizer):
+    e = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    words, signs = ["one", "two", "three", "été"], [".", ",", "(", '"', "--"]
+    held = lambda: len(e.chunks.young) + len(e.pieces.young)
+    e.encode([" ".join([*words, *signs]).encode()])
+    before, text = held(), " ".join(a + w + b + v.title() + a for a in signs for b in signs for w in words for v in words[:3])
+    assert np.frombuffer(e.encode([text.encode()])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert held() == before
+
+
 def laid_out(slots, histogram):
     """Every piece's place, from the slots: (sequence, offset, length)."""
     rank, places = {k: 0 for k in histogram}, []
